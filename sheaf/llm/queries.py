@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.llm.decontaminate import contamination
 from sheaf.llm.exact_dedup import duplicate_groups
 
 
@@ -14,10 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), into="c")
+    items = F.col("c.items")
+    return rows.select(
+        "doc_id", "c.n_words", "c.n_hit", F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"), (F.col("c.n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = duplicate_groups(table(spark, sf_dir, "documents"), keep="max")
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {"op3_decontamination": op3_decontamination, "op9_exact_dedup": op9_exact_dedup}
