@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.llm import quality, toxicity
 from sheaf.llm.decontaminate import contamination
 from sheaf.llm.exact_dedup import duplicate_groups
+from sheaf.llm.labels import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +26,24 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _predictions(rows: DataFrame, threshold: float) -> DataFrame:
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _predictions(toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))), toxicity.THRESHOLD)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _predictions(quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels"))), quality.THRESHOLD)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = duplicate_groups(table(spark, sf_dir, "documents"), keep="max")
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination, "op9_exact_dedup": op9_exact_dedup}
+    return {"op3_decontamination": op3_decontamination, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
