@@ -21,15 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.llm import textkit as tk
+from sheaf.llm.joins import lookup
 from sheaf.llm.storage import fresh_path, kept
 
 MEMTABLE_ROWS = 100_000
-#: Most bytes of a broadcast index side; a larger one is joined by shuffle, with its hottest digests apart.
-BROADCAST_BYTES = 32 << 20
-ENTRY_BYTES = 96
-#: A digest is hot with this share of all rows, so at most 1 / HOT_SHARE digests are.
-HOT_SHARE = 0.001
-
 RUN_SCHEMA = "digest binary, id long, n long"
 INDEX_SCHEMA = RUN_SCHEMA + ", n_id long"
 
@@ -126,18 +121,6 @@ def with_digest(docs: DataFrame, text_col: str, name: str, text_name: str | None
     return docs.mapInArrow(add, schema)
 
 
-def _lookup(rows: DataFrame, key: str, index: DataFrame, how: str, size: int, total: int) -> DataFrame:
-    """Join rows with an index on the digest; hot digests, at most 1 / HOT_SHARE of them, never meet in one task."""
-    index = index.withColumnRenamed("digest", "__digest_key")
-    on = F.col(key) == F.col("__digest_key")
-    if size * ENTRY_BYTES <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(index), on, how).drop("__digest_key")
-    hot = F.col("__n") >= total * HOT_SHARE
-    first = rows.join(F.broadcast(index.filter(hot)), on, "left")
-    rest = first.filter(F.col("__digest_key").isNull()).select(rows.columns).join(index.filter(~hot), on, how)
-    return first.filter(F.col("__digest_key").isNotNull()).unionByName(rest).drop("__digest_key")
-
-
 def decided(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns, with ``__digest``, ``__keep_id``, ``__n`` (rows of the group) and ``__kept``."""
     if clash := {c.lower() for c in docs.columns} & {"__digest", "__keep_id", "__n", "__kept", "__n_id", "__text"}:
@@ -150,12 +133,12 @@ def decided(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col
 
     # Hits receive byte verification: rows with repeated digests are grouped by the text itself.
     slim = docs.select(own.alias("__id"), F.col(text_col).alias("__t"))
-    hits = _lookup(with_digest(slim, "__t", "__digest", "__text").drop("__t"), "__digest", index, "inner", size, total)
+    hits = lookup(with_digest(slim, "__t", "__digest", "__text").drop("__t"), "__digest", index, "digest", "__n", size, total, how="inner")
     order = F.coalesce(F.col("__id") if keep == "max" else -F.col("__id"), F.lit(-(1 << 63)))
     texts = hits.groupBy("__digest", "__text").agg(F.max_by("__id", order).alias("__keep_id"), F.count("*").alias("__n"))
     clashes = kept(texts.groupBy("__digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("__digest"), "clashes")
 
-    rows = _lookup(with_digest(docs, text_col, "__digest"), "__digest", index, "left", size, total)
+    rows = lookup(with_digest(docs, text_col, "__digest"), "__digest", index, "digest", "__n", size, total)
     if not clashes.isEmpty():  # SHA-256 collided: each text is a group of its own
         apart = texts.join(clashes, "__digest", "left_semi")
         again = with_digest(docs, text_col, "__digest", "__text").join(apart, ["__digest", "__text"]).withColumn("__n_id", F.lit(2)).select(rows.columns)

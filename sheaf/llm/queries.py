@@ -11,6 +11,7 @@ from sheaf.llm import quality, toxicity
 from sheaf.llm.decontaminate import contamination
 from sheaf.llm.exact_dedup import duplicate_groups
 from sheaf.llm.labels import held_out
+from sheaf.llm.ngram_join import near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def _predictions(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -46,4 +52,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
+    return {"op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
