@@ -12,6 +12,7 @@ from sheaf.llm.decontaminate import contamination
 from sheaf.llm.exact_dedup import duplicate_groups
 from sheaf.llm.labels import held_out
 from sheaf.llm.ngram_join import near_duplicates
+from sheaf.llm.substring_dedup import remove_repeated
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeated(table(spark, sf_dir, "documents"), window=35)
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _predictions(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -52,4 +58,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
+    return {"op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_substring_dedup": op5_substring_dedup, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}

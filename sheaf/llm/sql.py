@@ -22,6 +22,18 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+OP5 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     g AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS h
+           FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+     r AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+     c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS p FROM g SEMI JOIN r USING (h)),
+     a AS (SELECT doc_id, p, w[p] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+     k AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM a ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP9 = f"""
 WITH d AS (SELECT doc_id, {LOW} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -31,4 +43,4 @@ FROM d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3, "op9_exact_dedup": OP9}
+    return {"op3_decontamination": OP3, "op5_substring_dedup": OP5, "op9_exact_dedup": OP9}
