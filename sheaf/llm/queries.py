@@ -11,14 +11,24 @@ from sheaf.llm import quality, toxicity
 from sheaf.llm.decontaminate import contamination
 from sheaf.llm.exact_dedup import duplicate_groups
 from sheaf.llm.labels import held_out
+from sheaf.llm.main_text import extracted
 from sheaf.llm.ngram_join import near_duplicates
+from sheaf.llm.pieces import PieceModel, encoded
 from sheaf.llm.substring_dedup import remove_repeated
 
 
+#: The vocabulary file is read on the driver and never copied.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), into="c")
     items = F.col("c.items")
@@ -52,10 +62,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels"))), quality.THRESHOLD)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    rows = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), PieceModel.load(model))
+    return rows.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "round_trip")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = duplicate_groups(table(spark, sf_dir, "documents"), keep="max")
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_substring_dedup": op5_substring_dedup, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
+    return {"op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_substring_dedup": op5_substring_dedup, "op6_sentencepiece": op6_sentencepiece, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
