@@ -7,10 +7,10 @@ that agree in some fragment form a bucket (an empty fragment counts only togethe
 that chance brings nobody together). Overlaps of candidate pairs are then counted separately in each of ``PARTS``
 coarser fragments of the order and summed per pair.
 
-Buckets of up to ``SMALL`` classes try all pairs. A larger bucket is tried as a star around its most connected class p,
-and loses no link by that: if x is not joined with p, then a link of x with y either lies inside p, and is tried if the
-overlaps with p leave room for it, or shares an n-gram outside p, and is tried in the bucket of that n-gram, in the same
-way. Components are found by label propagation on verified links. No group is ever gathered in one task, and no step
+Buckets of few classes (``SMALL``) try all pairs. A larger bucket is tried as a star around its most connected class p,
+and loses no link by that. Let U be the union of p and two more of the bucket's classes: if x is not joined with p, then a
+link of x with y either lies inside U, and is tried if the overlaps with U leave room for it, or shares an n-gram
+outside U, and is tried in the bucket of that n-gram, in the same way. Components are found by label propagation on verified links. No group is ever gathered in one task, and no step
 makes all pairs of a large group unless they stay apart after ``ROUNDS`` rounds of stars.
 
 Defined results: A-Z are lower-cased, words are runs without ASCII white space; texts of fewer words than n are one
@@ -38,8 +38,9 @@ from sheaf.llm.storage import kept
 N = 5
 PERCENT = 80
 PARTS = 8
-SMALL = 8
-ROUNDS = 4
+#: Buckets of up to so many classes try all pairs; those of n-grams outside all centres, in later turns, are rarer.
+SMALL, SMALL_LATER = 8, 64
+ROUNDS = 6
 ROW_BYTES = 64
 
 
@@ -169,18 +170,14 @@ def vertical(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "class long, part int, grams array<long>").dropDuplicates(["class", "part"])
 
 
-def _beside(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Each pair's fragments side by side."""
+def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(x, y, both): overlaps counted in each fragment and summed per pair."""
     cells = pairs.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     ours = parts.select(F.col("class").alias("x"), "part", F.col("grams").alias("gx"))
     theirs = parts.select(F.col("class").alias("y"), "part", F.col("grams").alias("gy"))
-    return cells.join(ours, ["x", "part"], "left").join(theirs, ["y", "part"])
-
-
-def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(x, y, both): overlaps counted in each fragment and summed per pair."""
+    beside = cells.join(ours, ["x", "part"], "left").join(theirs, ["y", "part"], "left")
     part = F.coalesce(F.size(F.array_intersect("gx", "gy")), F.lit(0))
-    return _beside(pairs, parts).select("x", "y", part.alias("n")).groupBy("x", "y").agg(F.sum("n").alias("both"))
+    return beside.select("x", "y", part.alias("n")).groupBy("x", "y").agg(F.sum("n").alias("both"))
 
 
 def _similar(both, nx, ny, percent: int):
@@ -207,76 +204,81 @@ def _pairs_of(left: DataFrame, right: DataFrame, condition) -> DataFrame:
     return both.select(F.least("class", "class_").alias("x"), F.greatest("class", "class_").alias("y")).distinct()
 
 
-class _Links:
-    """Verified links so far, and the component label of each class that has any."""
+def _ordered(x, y) -> list:
+    return [F.least(x, y).alias("x"), F.greatest(x, y).alias("y")]
 
-    def __init__(self, parts: DataFrame, sizes: DataFrame, percent: int):
-        self.parts, self.sizes, self.percent, self.edges, self.labels = parts, sizes, percent, None, None
 
-    def measured(self, pairs: DataFrame) -> DataFrame:
-        """(x, y, both, nx, ny), written."""
-        out = overlaps(pairs, self.parts)
-        for side in ("x", "y"):
-            out = out.join(self.sizes.select(F.col("class").alias(side), F.col("n").alias(f"n{side}")), side)
-        return kept(out, "overlaps")
-
-    def add(self, measured: DataFrame) -> None:
-        new = measured.filter(_similar("both", "nx", "ny", self.percent)).select("x", "y")
-        self.edges = new if self.edges is None else self.edges.unionByName(new)
-        self.labels = components(self.edges)
-
-    def label(self, df: DataFrame, key: str, into: str) -> DataFrame:
-        found = self.labels.select(F.col("node").alias(key), F.col("label").alias("__found"))
-        return df.join(found, key, "left").withColumn(into, F.coalesce("__found", key)).drop("__found")
+def _labelled(df: DataFrame, labels: DataFrame, key: str, into: str) -> DataFrame:
+    found = labels.select(F.col("node").alias(key), F.col("label").alias("__found"))
+    return df.join(found, key, "left").withColumn(into, F.coalesce("__found", key)).drop("__found")
 
 
 def class_links(members: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(node, label) of all classes with links; ``members`` has (key, class, n), the buckets of candidates."""
-    links = _Links(parts, sizes, percent)
-    for turn in range(ROUNDS + 1):
+    edges, pending, turn = None, None, 0
+    while True:
         members = kept(_distinct_buckets(members), "buckets")
-        small, large = members.filter(F.col("size") <= SMALL), members.filter(F.col("size") > SMALL)
+        few = F.col("size") <= (SMALL_LATER if turn else SMALL)
+        small, large = members.filter(few), members.filter(~few)
         pairs = _pairs_of(small, small, (F.col("class") < F.col("class_")) & _close("n", "n_", percent))
         weight = large.groupBy("class").agg(F.sum("size").alias("weight"))
-        centre = large.join(weight, "class").groupBy("key").agg(F.max_by("class", F.struct("weight", -F.col("n"), "class")).alias("centre"))
-        star = kept(large.join(centre, "key").select("key", "class", "n", "centre"), "stars")
-        spokes = star.filter(F.col("class") != F.col("centre")).select(F.col("centre").alias("x"), F.col("class").alias("y")).distinct()
-        ordered = spokes.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        measured = links.measured(pairs.unionByName(ordered).distinct())
-        links.add(measured)
-        if star.isEmpty():
-            break
-        # What is not in its centre's component yet may still have links of its own.
-        placed = links.label(links.label(star, "class", "mine"), "centre", "middle").withColumn("rest", F.col("mine") != F.col("middle"))
-        groups = kept(placed.groupBy("centre", "class", "n", "mine").agg(F.max("rest").alias("rest")), "groups")
-        open_ = groups.filter("rest").select("centre").distinct()
-        groups = groups.join(open_, "centre")
+        weighed = large.join(weight, "class")
+        centre = weighed.groupBy("key").agg(F.max_by("class", F.struct("weight", -F.col("n"), "class")).alias("centre"))
+        star = kept(weighed.join(centre, "key").groupBy("centre", "class", "n", "weight").agg(F.count("*").alias("shared")), "stars")
+        spokes = star.filter(F.col("class") != F.col("centre")).select(*_ordered("centre", "class"))
+        tried = pairs.unionByName(spokes)
+        if pending is not None:
+            tried = tried.unionByName(pending)
+        edges = _verified(tried.distinct(), parts, sizes, percent, edges)
+        labels = components(edges)
+        # A class that is not in its centre's component may still have links of its own.
+        placed = _labelled(_labelled(star, labels, "class", "mine"), labels, "centre", "middle").withColumn("rest", F.col("mine") != F.col("middle"))
+        groups = kept(placed.select("centre", "class", "n", "weight", "mine", "rest"), "groups")
+        open_ = groups.filter("rest")
         if open_.isEmpty():
-            break
+            return labels
         if turn == ROUNDS:  # an exact end for whatever stayed apart
             keyed = groups.withColumnRenamed("centre", "key")
-            links.add(links.measured(_pairs_of(keyed.filter("rest"), keyed, (F.col("mine") != F.col("mine_")) & _close("n", "n_", percent))))
-            break
-        shared = measured.select("x", "y", "both")
-        shared = shared.unionByName(shared.select(F.col("y").alias("x"), F.col("x").alias("y"), "both"))
-        inside = groups.join(shared.select(F.col("x").alias("centre"), F.col("y").alias("class"), "both"), ["centre", "class"]).withColumnRenamed("centre", "key")
-        room = (100 + percent) * F.least("both", "both_") >= percent * (F.col("n") + F.col("n_"))
-        within = _pairs_of(inside.filter("rest"), inside, (F.col("mine") != F.col("mine_")) & _close("n", "n_", percent) & room)
-        links.add(links.measured(within))
-        outside = _beside(groups.select(F.col("centre").alias("x"), F.col("class").alias("y")).filter("x <> y"), parts)
-        tokens = outside.select("x", "y", F.explode(F.when(F.col("gx").isNull(), F.col("gy")).otherwise(F.array_except("gy", "gx"))).alias("gram"))
-        tokens = tokens.join(groups.select(F.col("centre").alias("x"), F.col("class").alias("y"), "n", "rest"), ["x", "y"])
-        keyed = kept(tokens.select(F.xxhash64("x", "gram").alias("key"), F.col("y").alias("class"), "n", "rest").distinct(), "outside")
+            last = _pairs_of(keyed.filter("rest"), keyed, (F.col("mine") != F.col("mine_")) & _close("n", "n_", percent))
+            return components(_verified(last, parts, sizes, percent, edges))
+        # Two more centres each: what all three leave out is seldom shared by chance.
+        more = open_.groupBy("centre").agg(F.max_by("class", F.struct("weight", "class")).alias("second"), F.max_by("class", F.struct(F.xxhash64("class"), "class")).alias("third"))
+        out = kept(_outside(groups.join(more, "centre"), more, parts), "outside")
+        inside = out.groupBy("centre", "class", "n", "mine", "rest").agg((F.col("n") - F.sum(F.size("grams"))).alias("inside")).withColumnRenamed("centre", "key")
+        room = (100 + percent) * F.least("inside", "inside_") >= percent * (F.col("n") + F.col("n_"))
+        pending = _pairs_of(inside.filter("rest"), inside, (F.col("mine") != F.col("mine_")) & _close("n", "n_", percent) & room)
+        pending = pending.unionByName(groups.join(more, "centre").filter("class <> second").select(*_ordered("class", "second")))
+        pending = pending.unionByName(groups.join(more, "centre").filter("class <> third").select(*_ordered("class", "third")))
+        keyed = kept(out.select(F.explode("grams").alias("gram"), "centre", "class", "n", "rest").select(F.xxhash64("centre", "gram").alias("key"), "class", "n", "rest"), "tokens")
         alive = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max("rest").alias("rest")).filter("rest AND size > 1").select("key")
-        members = keyed.join(alive, "key").select("key", "class", "n")
-    return links.labels
+        members, turn = keyed.join(alive, "key").select("key", "class", "n"), turn + 1
+
+
+def _verified(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int, edges: DataFrame | None) -> DataFrame:
+    """The edges so far and those of the pairs whose summed overlap makes them similar, written."""
+    both = overlaps(pairs, parts)
+    for side in ("x", "y"):
+        both = both.join(sizes.select(F.col("class").alias(side), F.col("n").alias(f"n{side}")), side)
+    new = kept(both.filter(_similar("both", "nx", "ny", percent)).select("x", "y"), "links")
+    return new if edges is None else edges.unionByName(new)
+
+
+def _outside(groups: DataFrame, centres: DataFrame, parts: DataFrame) -> DataFrame:
+    """(centre, class, n, mine, rest, grams): in each fragment, the n-grams of a class that none of its group's centres has."""
+    union = centres.select("centre", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "second", "third")
+    for name in ("centre", "second", "third"):
+        union = union.join(parts.select(F.col("class").alias(name), "part", F.col("grams").alias(f"g_{name}")), [name, "part"], "left")
+    none = F.array().cast("array<bigint>")
+    union = union.select("centre", "part", F.array_union(F.array_union(F.coalesce("g_centre", none), F.coalesce("g_second", none)), F.coalesce("g_third", none)).alias("known"))
+    cells = groups.join(parts, "class").join(union, ["centre", "part"])
+    return cells.select("centre", "class", "n", "mine", "rest", F.array_except("grams", "known").alias("grams"))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, class) of each document; linked documents share a component, named by its smallest id."""
     slim = _slim(docs, id_col, text_col)
     table = kept(classes(slim, n), "classes")
-    sigs = agreements(slim, n, percent)
+    sigs = kept(agreements(slim, n, percent), "agreements")
     shared = sigs.groupBy("sig").agg(F.count("*").alias("rows")).filter("rows > 1").select("sig")
     members = kept(sigs.join(shared, "sig").select(F.col("sig").alias("key"), "class", "n").distinct(), "members")
     members = members.join(members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "key")
