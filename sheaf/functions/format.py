@@ -86,8 +86,8 @@ def text(x: Column, field: T.StructField, options: EncodeOptions) -> Column:
         return number_text(x, options.numbers, dtype)
     if isinstance(dtype, T.DecimalType):
         return decimal_text(x)
-    if isinstance(dtype, T.TimestampType):
-        return date_text(x, options.dates)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return date_text(x.cast("timestamp"), options.dates)
     if isinstance(dtype, T.StringType):
         return F.upper(x) if field.metadata.get(S.KIND) == "uuid" else x
     if isinstance(dtype, T.IntegralType):

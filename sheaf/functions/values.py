@@ -14,7 +14,7 @@ from sheaf.functions import locales as L
 from sheaf.options import Bools, Dates, DecodeOptions, Nils, Numbers
 
 # The reference names of types, as messages have them.
-NAMES = {T.BooleanType: "Bool", T.StringType: "String", T.LongType: "Int", T.IntegerType: "Int32", T.ShortType: "Int16", T.ByteType: "Int8", T.DoubleType: "Double", T.FloatType: "Float", T.DecimalType: "Decimal", T.TimestampType: "Date"}
+NAMES = {T.BooleanType: "Bool", T.StringType: "String", T.LongType: "Int", T.IntegerType: "Int32", T.ShortType: "Int16", T.ByteType: "Int8", T.DoubleType: "Double", T.FloatType: "Float", T.DecimalType: "Decimal", T.TimestampType: "Date", T.TimestampNTZType: "Date"}
 KIND_NAMES = {"uint8": "UInt8", "uint16": "UInt16", "uint32": "UInt32", "uint64": "UInt64", "uuid": "UUID", "url": "URL"}
 
 INTEGER = r"^[+-]?[0-9]+$"
@@ -169,8 +169,8 @@ def value(text: Column, field: T.StructField, options: DecodeOptions) -> Column:
         found = real(text, options.numbers, dtype)
     elif isinstance(dtype, T.DecimalType):
         found = decimal(text, options.numbers, dtype)
-    elif isinstance(dtype, T.TimestampType):
-        found = instant(text, options.dates)
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        found = instant(text, options.dates).cast(dtype)
     elif isinstance(dtype, T.StringType):
         found = text
         if kind == "uuid":

@@ -190,7 +190,7 @@ def trim_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def charset_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes with a byte order mark, decoded and split."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("src"), scan.decoded(F.encode(F.concat(F.lit("text\n"), F.replace("text", F.lit("\n"), F.lit(" "))), "UTF-16")).alias("content"))
-    return Decoder().documents(docs, T.StructType.fromDDL("text string not null"), names=["text"])
+    return Decoder(DecodeOptions(delimiter="\x1f")).documents(docs, T.StructType.fromDDL("text string not null"), names=["text"])
 
 
 @query
