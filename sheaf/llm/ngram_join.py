@@ -3,8 +3,9 @@
 A document's set has its distinct word n-grams, ordered by hash; documents with equal sets form a class, and classes are
 what is joined. The global n-gram order is cut into fragments. For a size level whose sets can differ in at most D
 n-grams and still be similar enough, D + 1 fragments are cut, so two linked sets agree entirely in at least one. Classes
-that agree in some fragment form a bucket (an empty fragment counts only together with a fragment of a second order, so
-that chance brings nobody together). Overlaps of candidate pairs are then counted separately in each of ``PARTS``
+that agree in some fragment form a bucket (spare fragments make up for those that are empty; in a set with more of those, an
+empty one counts together with a fragment of a second order, so that chance brings nobody together). Sets that share
+too few of the first n-grams of the order with any other set are left out beforehand. Overlaps of candidate pairs are then counted separately in each of ``PARTS``
 coarser fragments of the order and summed per pair.
 
 Buckets of few classes (``SMALL``) try all pairs. A larger bucket is tried as a star around its most connected class p,
@@ -22,7 +23,9 @@ or passed on.
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,25 +93,48 @@ def _pieces(grams: np.ndarray, fragments: int, salt: int) -> tuple[np.ndarray, n
     return total[cut[1:]] - total[cut[:-1]], np.diff(cut)
 
 
+@lru_cache(None)
+def fragments(level: int, percent: int) -> tuple[int, int]:
+    """How many fragments a level has, and how many of them may be empty in a set without a second order.
+
+    With D + 1 + z fragments two linked sets agree in z + 1 at least, so a set with up to z empty ones agrees in one
+    that is not empty. z is a little more than chance makes empty in the level's smallest sets.
+    """
+    different = most_different(2 * (LEVELS[level + 1] - 1), percent)
+    spare, smallest = 0, max(1, LEVELS[level] * percent // 100)
+    for _ in range(8):
+        count = different + 1 + spare
+        empty = count * math.exp(-smallest / count)
+        spare = math.ceil(empty + 3 * math.sqrt(empty)) if empty > 0.01 else 0
+    return different + 1 + spare, spare
+
+
 def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     """What the set may agree in with another of at least ``percent`` similarity, at its own level and, near the top, the next."""
     n = len(grams)
     own = bisect.bisect_right(LEVELS, n) - 1
     out = []
     for level in [own, own + 1] if 100 * n >= percent * LEVELS[own + 1] else [own]:
-        fragments = most_different(2 * (LEVELS[level + 1] - 1), percent) + 1
-        if fragments == 1:
+        if most_different(2 * (LEVELS[level + 1] - 1), percent) == 0:
             continue  # only equal sets can link
-        total, size = _pieces(grams, fragments, 1)
-        place = np.arange(fragments, dtype=tk.U64) * tk.BASES[0] + tk.U64(level * int(tk.BASES[1]) % (1 << 64))
+        count, spare = fragments(level, percent)
+        total, size = _pieces(grams, count, 1)
+        place = np.arange(count, dtype=tk.U64) * tk.BASES[0] + tk.U64(level * int(tk.BASES[1]) % (1 << 64))
         out.append(tk.mix(tk.mix(total + place) + size.astype(tk.U64))[size > 0])
-        if len(empty := np.flatnonzero(size == 0)):
-            again, sizes = _pieces(np.sort(tk.mix(grams ^ tk.BASES[0])), fragments, 2)
+        if len(empty := np.flatnonzero(size == 0)) > spare:
+            again, sizes = _pieces(np.sort(tk.mix(grams ^ tk.BASES[0])), count, 2)
             second = tk.mix(tk.mix(again + place) + sizes.astype(tk.U64) + tk.U64(7))
             out += [tk.mix(second + tk.mix(place[e : e + 1] + tk.U64(3))) for e in empty]
     return np.concatenate(out) if out else np.empty(0, dtype=tk.U64)
 
 
+def least_of(grams: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first n-grams of the order, and how many of them some other set must have if this one has a link at all."""
+    missing = (100 - percent) * len(grams) // 100
+    first = grams[: missing + missing // 2 + 1]
+    return first, len(first) - missing
+
+
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
 
@@ -146,6 +172,25 @@ def agreements(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "sig long, class long, n int")
 
 
+def first_grams(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(gram, class, need) for the first n-grams of each document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                grams, keys, needs = [np.empty(0, dtype=tk.U64)], [], []
+                for one in sets_of(part.column(2), n):
+                    if len(one):
+                        first, need = least_of(one, percent)
+                        grams.append(first)
+                        keys.append(class_of(one))
+                        needs.append(need)
+                many = [len(x) for x in grams[1:]]
+                yield pa.RecordBatch.from_arrays([tk.signed(np.concatenate(grams)), pa.array(np.repeat(np.array(keys, dtype=np.int64), many)), pa.array(np.repeat(np.array(needs, dtype=np.int32), many))], ["gram", "class", "need"])
+
+    return docs.mapInArrow(run, "gram long, class long, need int")
+
+
 def vertical(docs: DataFrame, n: int) -> DataFrame:
     """(class, part, grams): each set cut into PARTS fragments of the global order."""
 
@@ -278,16 +323,19 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     """(id, n_shingles, component_id, class) of each document; linked documents share a component, named by its smallest id."""
     slim = _slim(docs, id_col, text_col)
     table = kept(classes(slim, n), "classes")
-    sigs = kept(agreements(slim, n, percent), "agreements")
-    shared = sigs.groupBy("sig").agg(F.count("*").alias("rows")).filter("rows > 1").select("sig")
-    members = kept(sigs.join(shared, "sig").select(F.col("sig").alias("key"), "class", "n").distinct(), "members")
-    members = members.join(members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "key")
-    wanted = kept(table.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("n").alias("n"), F.min(F.struct("id", "row")).alias("one")), "wanted")
+    # Most documents share too few n-grams with any other to have a link; only the rest are looked at closely.
+    grams = first_grams(slim, n, percent)
+    shared = grams.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1").select("gram")
+    alive = grams.join(shared, "gram").groupBy("class").agg(F.count("*").alias("have"), F.max("need").alias("need")).filter("have >= need").select("class")
+    wanted = kept(table.join(alive, "class", "left_semi").groupBy("class").agg(F.min("n").alias("n"), F.min(F.struct("id", "row")).alias("one")), "wanted")
     count = wanted.count()
     per_class = table.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
     if count:
         reps = broadcast_if_small(wanted.select(F.col("one.id").alias("rid"), F.col("one.row").alias("rrow")), count, ROW_BYTES)
-        texts = slim.join(reps, F.col("id").eqNullSafe(F.col("rid")) & (F.col("row") == F.col("rrow"))).select("id", "row", "text")
+        texts = kept(slim.join(reps, F.col("id").eqNullSafe(F.col("rid")) & (F.col("row") == F.col("rrow"))).select("id", "row", "text"), "texts")
+        sigs = kept(agreements(texts, n, percent).distinct(), "agreements")
+        several = sigs.groupBy("sig").agg(F.count("*").alias("rows")).filter("rows > 1").select("sig")
+        members = sigs.join(several, "sig").select(F.col("sig").alias("key"), "class", "n")
         parts = kept(vertical(texts, n), "parts")
         labels = class_links(members, parts, wanted.select("class", "n"), percent).select(F.col("node").alias("class"), "label")
         per_class = per_class.join(labels, "class", "left")
