@@ -1,26 +1,5 @@
-"""Where jobs put what must outlive an executor."""
+"""The shared folder, as the operators here use it."""
 
-from __future__ import annotations
+from sheaf.storage import DEFAULT_FOLDER, fresh_path, kept, shared_folder
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-#: Only for sessions that name no shared folder, as in tests on one machine.
-DEFAULT_FOLDER = "/tmp/checkpoints"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; all executors and the driver see it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_FOLDER
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: its lineage ends there and is computed once."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["DEFAULT_FOLDER", "fresh_path", "kept", "shared_folder"]
