@@ -47,9 +47,10 @@ def field_pattern(delimiter: str) -> str:
 def records(content: Column, delimiter: str) -> Column:
     """The raw records of a document with their terminators. An empty last line is none; one in between is."""
     found = F.regexp_extract_all(content, F.lit(record_pattern(delimiter)), F.lit(1))
-    found = F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))  # what matched at the very end
-    blank = F.try_element_at(found, F.lit(-1)).isin("\n", "\r", "\r\n")
-    return F.when(blank, F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
+    # A split that reaches the end closes with an empty match there; one that stops at an unclosed quote does not.
+    whole = F.try_element_at(found, F.lit(-1)) == ""
+    blank = F.try_element_at(found, F.lit(-2)).isin("\n", "\r", "\r\n")
+    return F.when(whole, F.slice(found, F.lit(1), F.size(found) - F.when(blank, 2).otherwise(1))).otherwise(found)
 
 
 def consumed(content: Column, delimiter: str) -> Column:
