@@ -33,19 +33,26 @@ def lookup(rows: DataFrame, key: str, index: DataFrame, index_key: str, weight:
     return first.filter(F.col("__lookup").isNotNull()).unionByName(rest).drop("__lookup")
 
 
+def hinted(written: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, marked for broadcast if its counted rows are few enough."""
+    return broadcast_if_small(written, written.count(), row_bytes)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for all nodes of edges (x, y); a label is the smallest node of its component.
+    """(node, label) for all nodes of edges (x, y), written; a label is the smallest node of its component.
 
     Smallest labels spread over edges, and labels of labels are followed, until nothing changes.
     """
-    both = kept(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
-    labels = kept(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("label")), "labels")
+    x, y = F.col("x"), F.col("y")
+    both = kept(edges.select(F.explode(F.array(F.struct(x, y), F.struct(y.alias("x"), x.alias("y")), F.struct(x, x.alias("y")), F.struct(y.alias("x"), y))).alias("e")).select("e.*").distinct(), "edges")
+    labels = kept(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label")), "labels")
+    few = labels.count() * 32 <= BROADCAST_BYTES
     while True:
-        near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("near"))
-        spread = labels.join(near, F.col("node") == F.col("x")).select("node", F.least("label", "near").alias("next"), F.col("label").alias("was"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        moved = spread.join(jump, F.col("next") == F.col("at")).select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("was")).alias("changed"))
-        moved = kept(moved, "labels")
-        labels = moved.select("node", "label")
-        if moved.filter("changed").isEmpty():
-            return labels
+        side = F.broadcast(labels) if few else labels
+        near = both.join(side, F.col("y") == F.col("node")).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("next"))
+        jump = side.select(F.col("node").alias("at"), F.col("label").alias("far"))
+        was = side.select(F.col("node").alias("same"), F.col("label").alias("was"))
+        moved = near.join(jump, F.col("next") == F.col("at")).join(was, F.col("node") == F.col("same"))
+        labels = kept(moved.select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("was")).alias("changed")), "labels")
+        if labels.filter("changed").isEmpty():
+            return labels.select("node", "label")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import textkit as tk
 from sheaf.llm.exact_dedup import unused
-from sheaf.llm.joins import broadcast_if_small, components, lookup
+from sheaf.llm.joins import broadcast_if_small, components, hinted, lookup
 from sheaf.llm.storage import kept
 
 #: Defaults for corpora without a contract of their own: five words and 0.8.
@@ -233,12 +233,12 @@ def _close(nx, ny, percent: int):
     return 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
 
 
-def _distinct_buckets(members: DataFrame) -> DataFrame:
-    """Of buckets with the same classes one: members (key, class, n) of those, with the bucket's size."""
+def _distinct_buckets(members: DataFrame, *by: str) -> DataFrame:
+    """Of buckets with the same classes one, with the bucket's size and how many buckets it stands for."""
     h = F.xxhash64("class")
     low, high, other = h.bitwiseAND(0x7FFFFFFF), F.shiftrightunsigned(h, 33), F.xxhash64("class", F.lit(1)).bitwiseAND(0x7FFFFFFF)
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(low).alias("a"), F.sum(high).alias("b"), F.sum(other).alias("c"), F.min("class").alias("d"))
-    chosen = sizes.filter("size > 1").groupBy("size", "a", "b", "c", "d").agg(F.min("key").alias("key")).select("key", "size")
+    sizes = members.groupBy("key", *by).agg(F.count("*").alias("size"), F.sum(low).alias("a"), F.sum(high).alias("b"), F.sum(other).alias("c"), F.min("class").alias("d"))
+    chosen = sizes.filter("size > 1").groupBy(*by, "size", "a", "b", "c", "d").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "size", "times")
     return members.join(chosen, "key")
 
 
@@ -249,6 +249,19 @@ def _pairs_of(left: DataFrame, right: DataFrame, condition) -> DataFrame:
     return both.select(F.least("class", "class_").alias("x"), F.greatest("class", "class_").alias("y")).distinct()
 
 
+def _sharing(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """Pairs x < y of later turns that may be similar: what both have inside U, what they share outside it in small buckets,
+    and at most all they have in large ones, must be enough."""
+    b = small.select("key", F.col("class").alias("class_"), F.col("n").alias("n_"), F.col("inside").alias("inside_"))
+    both = small.join(b, "key").filter((F.col("class") < F.col("class_")) & _close("n", "n_", percent))
+    shared = both.groupBy("group", F.col("class").alias("x"), F.col("class_").alias("y"), "n", "n_", "inside", "inside_").agg(F.sum("times").alias("shared"))
+    more = large.groupBy("group", "class").agg(F.sum("times").alias("more"))
+    for side in ("x", "y"):
+        shared = shared.join(more.select("group", F.col("class").alias(side), F.col("more").alias(f"more_{side}")), ["group", side], "left")
+    enough = F.least("inside", "inside_") + F.col("shared") + F.coalesce(F.least(F.coalesce("more_x", F.lit(0)), F.coalesce("more_y", F.lit(0))), F.lit(0))
+    return shared.filter((100 + percent) * enough >= percent * (F.col("n") + F.col("n_"))).select("x", "y").distinct()
+
+
 def _ordered(x, y) -> list:
     return [F.least(x, y).alias("x"), F.greatest(x, y).alias("y")]
 
@@ -261,23 +274,28 @@ def _labelled(df: DataFrame, labels: DataFrame, key: str, into: str) -> DataFram
 def class_links(members: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(node, label) of all classes with links; ``members`` has (key, class, n), the buckets of candidates."""
     edges, pending, turn = None, None, 0
+    sizes = hinted(sizes, ROW_BYTES)
     while True:
-        members = kept(_distinct_buckets(members), "buckets")
+        members = kept(_distinct_buckets(members, *(["group"] if turn else [])), "buckets")
         few = F.col("size") <= (SMALL_LATER if turn else SMALL)
         small, large = members.filter(few), members.filter(~few)
-        pairs = _pairs_of(small, small, (F.col("class") < F.col("class_")) & _close("n", "n_", percent))
-        weight = large.groupBy("class").agg(F.sum("size").alias("weight"))
-        weighed = large.join(weight, "class")
-        centre = weighed.groupBy("key").agg(F.max_by("class", F.struct("weight", -F.col("n"), "class")).alias("centre"))
-        star = kept(weighed.join(centre, "key").groupBy("centre", "class", "n", "weight").agg(F.count("*").alias("shared")), "stars")
-        spokes = star.filter(F.col("class") != F.col("centre")).select(*_ordered("centre", "class"))
-        tried = pairs.unionByName(spokes)
+        tried = _sharing(small, large, percent) if turn else _pairs_of(small, small, (F.col("class") < F.col("class_")) & _close("n", "n_", percent))
+        some = not large.isEmpty()
+        if some:
+            weight = hinted(kept(large.groupBy("class").agg(F.sum("size").alias("weight")), "weights"), ROW_BYTES)
+            weighed = large.join(weight, "class")
+            centre = hinted(kept(weighed.groupBy("key").agg(F.max_by("class", F.struct("weight", -F.col("n"), "class")).alias("centre")), "centres"), ROW_BYTES)
+            star = kept(weighed.join(centre, "key").select("centre", "class", "n", "weight").distinct(), "stars")
+            tried = tried.unionByName(star.filter(F.col("class") != F.col("centre")).select(*_ordered("centre", "class")))
         if pending is not None:
             tried = tried.unionByName(pending)
-        edges = _verified(tried.distinct(), parts, sizes, percent, edges)
+        edges = _verified(kept(tried.distinct(), "pairs"), parts, sizes, percent, edges)
         labels = components(edges)
+        if not some:
+            return labels
         # A class that is not in its centre's component may still have links of its own.
-        placed = _labelled(_labelled(star, labels, "class", "mine"), labels, "centre", "middle").withColumn("rest", F.col("mine") != F.col("middle"))
+        side = hinted(labels, ROW_BYTES)
+        placed = _labelled(_labelled(star, side, "class", "mine"), side, "centre", "middle").withColumn("rest", F.col("mine") != F.col("middle"))
         groups = kept(placed.select("centre", "class", "n", "weight", "mine", "rest"), "groups")
         open_ = groups.filter("rest")
         if open_.isEmpty():
@@ -287,16 +305,18 @@ def class_links(members: DataFrame, parts: DataFrame, sizes: DataFrame, percent:
             last = _pairs_of(keyed.filter("rest"), keyed, (F.col("mine") != F.col("mine_")) & _close("n", "n_", percent))
             return components(_verified(last, parts, sizes, percent, edges))
         # Two more centres each: what all three leave out is seldom shared by chance.
-        more = open_.groupBy("centre").agg(F.max_by("class", F.struct("weight", "class")).alias("second"), F.max_by("class", F.struct(F.xxhash64("class"), "class")).alias("third"))
-        out = kept(_outside(groups.join(more, "centre"), more, parts), "outside")
-        inside = out.groupBy("centre", "class", "n", "mine", "rest").agg((F.col("n") - F.sum(F.size("grams"))).alias("inside")).withColumnRenamed("centre", "key")
+        more = kept(open_.groupBy("centre").agg(F.max_by("class", F.struct("weight", "class")).alias("second"), F.max_by("class", F.struct(F.xxhash64("class"), "class")).alias("third")), "more")
+        more = hinted(more, ROW_BYTES)
+        out = kept(_outside(groups.join(more.select("centre"), "centre"), more, parts), "outside")
+        inside = kept(out.groupBy("centre", "class", "n", "mine", "rest").agg((F.col("n") - F.sum(F.size("grams"))).alias("inside")).withColumnRenamed("centre", "key"), "inside")
         room = (100 + percent) * F.least("inside", "inside_") >= percent * (F.col("n") + F.col("n_"))
         pending = _pairs_of(inside.filter("rest"), inside, (F.col("mine") != F.col("mine_")) & _close("n", "n_", percent) & room)
-        pending = pending.unionByName(groups.join(more, "centre").filter("class <> second").select(*_ordered("class", "second")))
-        pending = pending.unionByName(groups.join(more, "centre").filter("class <> third").select(*_ordered("class", "third")))
-        keyed = kept(out.select(F.explode("grams").alias("gram"), "centre", "class", "n", "rest").select(F.xxhash64("centre", "gram").alias("key"), "class", "n", "rest"), "tokens")
-        alive = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max("rest").alias("rest")).filter("rest AND size > 1").select("key")
-        members, turn = keyed.join(alive, "key").select("key", "class", "n"), turn + 1
+        spokes = groups.join(more, "centre").select("class", F.explode(F.array("second", "third")).alias("other")).filter("class <> other")
+        pending = pending.unionByName(spokes.select(*_ordered("class", "other")))
+        keyed = out.join(inside.select(F.col("key").alias("centre"), "class", "inside"), ["centre", "class"]).select(F.explode("grams").alias("gram"), F.col("centre").alias("group"), "class", "n", "inside", "rest")
+        keyed = kept(keyed.withColumn("key", F.xxhash64("group", "gram")).drop("gram"), "tokens")
+        alive = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.max("rest").alias("alive")).filter("alive AND rows > 1").select("key")
+        members, turn = keyed.join(hinted(kept(alive, "alive"), ROW_BYTES), "key").select("key", "group", "class", "n", "inside"), turn + 1
 
 
 def _verified(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int, edges: DataFrame | None) -> DataFrame:
@@ -314,7 +334,8 @@ def _outside(groups: DataFrame, centres: DataFrame, parts: DataFrame) -> DataFra
     for name in ("centre", "second", "third"):
         union = union.join(parts.select(F.col("class").alias(name), "part", F.col("grams").alias(f"g_{name}")), [name, "part"], "left")
     none = F.array().cast("array<bigint>")
-    union = union.select("centre", "part", F.array_union(F.array_union(F.coalesce("g_centre", none), F.coalesce("g_second", none)), F.coalesce("g_third", none)).alias("known"))
+    union = kept(union.select("centre", "part", F.array_union(F.array_union(F.coalesce("g_centre", none), F.coalesce("g_second", none)), F.coalesce("g_third", none)).alias("known")), "unions")
+    union = broadcast_if_small(union, union.agg(F.coalesce(F.sum(F.size("known") + F.lit(8)), F.lit(0)).alias("n")).first().n, 8)
     cells = groups.join(parts, "class").join(union, ["centre", "part"])
     return cells.select("centre", "class", "n", "mine", "rest", F.array_except("grams", "known").alias("grams"))
 

@@ -106,9 +106,12 @@ def mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
-def _phone(digits: str) -> bool:
+def _phone(digits: str, abroad: bool) -> bool:
+    """A number with a country code other than 1 has 8 to 15 digits; others follow the North American plan."""
+    if abroad:
+        return 8 <= len(digits) <= 15
     national = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
-    return 8 <= len(digits) <= 15 and (len(national) != 10 or national[0] in "23456789" and national[3] in "23456789")
+    return len(national) == 10 and national[0] in "23456789" and national[3] in "23456789"
 
 
 def _ipv4(text: str) -> bool:
@@ -151,7 +154,7 @@ class Pseudonyms:
         r"|(?P<ipv4>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
         r"|(?P<date>(?<![\w./-])(?:\d{4}([-/.])\d{2}\7\d{2}|\d{2}([-/.])\d{2}\8\d{4})(?![\w/-]|\.\d))"
         r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\10\d{4}\10\d{4}(?:\10\d{1,3})?|\d{4}([ -])\d{6}\11\d{5})(?![\w-]))"
-        r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-]|\.\d))"
+        r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,12}(?:[ .-]\d{2,9}){0,4}|(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-]|\.\d))"
     )
 
     def __init__(self, key: bytes):
@@ -213,10 +216,12 @@ class Pseudonyms:
             ambiguous = lambda v: (_day(_written(v, separator, form)) or (v,))[0] == v
             return _written(self._walk(kind + form, at, DAYS, back, ambiguous), separator, form)
         else:
-            if not _phone(digits) or not re.match(r"\+|\(|\d{3}[ .-]\d{3}[ .-]\d{4}$", text):
+            abroad = text[0] == "+" and text[1] != "1"
+            if not _phone(digits, abroad):
                 return None
-            code = len(re.match(r"\+?(\d{0,3})", text)[1]) if text[0] == "+" else 0
-            new = self._spelled(kind, digits, back, _phone, fixed=min(code, len(digits) - 4))
+            code = len(re.match(r"\+(\d{1,3})", text)[1]) if text[0] == "+" else 0
+            code = min(code if abroad else 1 if len(digits) == 11 else 0, len(digits) - 5)
+            new = self._spelled(kind, digits, back, lambda d: _phone(d, abroad), fixed=code)
         it = iter(new)
         return "".join(next(it) if c.isdigit() else c for c in text)
 
