@@ -222,7 +222,6 @@ class DecodeOptions:
     nested: Nested = Nested.error()
     #: "failfast" stops at a bad row, "permissive" gives nulls and an ``_errors`` column.
     on_error: str = "failfast"
-    time_zone: str = "UTC"
     duplicate_headers: str = "last"
 
     def __post_init__(self) -> None:
@@ -246,7 +245,6 @@ class EncodeOptions:
     line_ending: str = "\n"
     nested: Nested = Nested.error()
     includes_trailing_newline: bool = False
-    time_zone: str = "UTC"
 
     def __post_init__(self) -> None:
         _check_delimiter(self.delimiter)
