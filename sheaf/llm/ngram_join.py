@@ -11,8 +11,8 @@ coarser fragments of the order and summed per pair.
 Buckets of few classes (``SMALL``) try all pairs. A larger bucket is tried as a star around its most connected class p,
 and loses no link by that. Let U be the union of p and two more of the bucket's classes: if x is not joined with p, then a
 link of x with y either lies inside U, and is tried if the overlaps with U leave room for it, or shares an n-gram
-outside U, and is tried in the bucket of that n-gram, in the same way. Components are found by label propagation on verified links. No group is ever gathered in one task, and no step
-makes all pairs of a large group unless they stay apart after ``ROUNDS`` rounds of stars.
+outside U, and is tried in the bucket of that n-gram, in the same way. Components are found by label propagation on verified links. No group is ever gathered in one task. Pairs of
+a large group are made only where these bounds leave room for a link, or plainly after ``ROUNDS`` rounds of stars.
 
 Defined results: A-Z are lower-cased, words are runs without ASCII white space; texts of fewer words than n are one
 n-gram; null, empty and blank texts have empty sets and no links. Equal texts link. A component is named by its
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import textkit as tk
 from sheaf.llm.exact_dedup import unused
-from sheaf.llm.joins import broadcast_if_small, components, hinted, lookup
+from sheaf.llm.joins import BROADCAST_BYTES, broadcast_if_small, components, hinted, lookup
 from sheaf.llm.storage import kept
 
 #: Defaults for corpora without a contract of their own: five words and 0.8.
@@ -212,11 +212,15 @@ def vertical(docs: DataFrame, n: int) -> DataFrame:
                 values = np.concatenate(grams) if grams else np.empty(0, dtype=tk.U64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tk.signed(values))], ["class", "part", "grams"])
 
-    return docs.mapInArrow(run, "class long, part int, grams array<long>").dropDuplicates(["class", "part"])
+    return docs.mapInArrow(run, "class long, part int, grams array<long>")
 
 
 def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """(x, y, both): overlaps counted in each fragment and summed per pair."""
+    some = kept(pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct(), "compared")
+    count = some.count()
+    if count * ROW_BYTES <= BROADCAST_BYTES:
+        parts = parts.join(F.broadcast(some), "class", "left_semi")
     cells = pairs.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     ours = parts.select(F.col("class").alias("x"), "part", F.col("grams").alias("gx"))
     theirs = parts.select(F.col("class").alias("y"), "part", F.col("grams").alias("gy"))
@@ -330,14 +334,13 @@ def _verified(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int
 
 def _outside(groups: DataFrame, centres: DataFrame, parts: DataFrame) -> DataFrame:
     """(centre, class, n, mine, rest, grams): in each fragment, the n-grams of a class that none of its group's centres has."""
-    union = centres.select("centre", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "second", "third")
-    for name in ("centre", "second", "third"):
-        union = union.join(parts.select(F.col("class").alias(name), "part", F.col("grams").alias(f"g_{name}")), [name, "part"], "left")
+    who = kept(centres.select("centre", F.explode(F.array("centre", "second", "third")).alias("class")).distinct(), "who")
+    known = parts.join(hinted(who, ROW_BYTES), "class").groupBy("centre", "part").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("known"))
+    known = kept(known, "known")
+    known = broadcast_if_small(known, known.agg(F.coalesce(F.sum(F.size("known") + F.lit(8)), F.lit(0)).alias("n")).first().n, 8)
+    cells = parts.join(hinted(kept(groups, "open"), ROW_BYTES), "class").join(known, ["centre", "part"], "left")
     none = F.array().cast("array<bigint>")
-    union = kept(union.select("centre", "part", F.array_union(F.array_union(F.coalesce("g_centre", none), F.coalesce("g_second", none)), F.coalesce("g_third", none)).alias("known")), "unions")
-    union = broadcast_if_small(union, union.agg(F.coalesce(F.sum(F.size("known") + F.lit(8)), F.lit(0)).alias("n")).first().n, 8)
-    cells = groups.join(parts, "class").join(union, ["centre", "part"])
-    return cells.select("centre", "class", "n", "mine", "rest", F.array_except("grams", "known").alias("grams"))
+    return cells.select("centre", "class", "n", "mine", "rest", F.array_except("grams", F.coalesce("known", none)).alias("grams"))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,7 +357,9 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col:
     if count:
         reps = broadcast_if_small(wanted.select(F.col("one.id").alias("rid"), F.col("one.row").alias("rrow")), count, ROW_BYTES)
         texts = kept(slim.join(reps, F.col("id").eqNullSafe(F.col("rid")) & (F.col("row") == F.col("rrow"))).select("id", "row", "text"), "texts")
-        sigs = kept(agreements(texts, n, percent).distinct(), "agreements")
+        if texts.count() > count:  # whole rows repeat
+            texts = kept(texts.dropDuplicates(["id", "row"]), "texts")
+        sigs = kept(agreements(texts, n, percent), "agreements")
         several = sigs.groupBy("sig").agg(F.count("*").alias("rows")).filter("rows > 1").select("sig")
         members = sigs.join(several, "sig").select(F.col("sig").alias("key"), "class", "n")
         parts = kept(vertical(texts, n), "parts")
