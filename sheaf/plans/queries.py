@@ -375,7 +375,7 @@ def url_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- names and nesting -------------------------------------------------------------------------------------------------
 
-_CAMEL = T.StructType.fromDDL("custKey long not null, fullName string not null, accountBalance double not null")
+_CAMEL = T.StructType([T.StructField("custKey", T.LongType(), False), T.StructField("fullName", T.StringType(), False), T.StructField("accountBalance", T.DoubleType(), False)])
 
 
 def _keys(header: tuple[str, str, str], options: DecodeOptions, spark: SparkSession, sf_dir: str) -> DataFrame:

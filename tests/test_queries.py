@@ -41,3 +41,12 @@ def test_query(spark, duck, name):
     a = sorted(([plain(r[c]) for c in columns] for r in ours.collect()), key=key)
     b = sorted(([plain(v) for v in row] for row in theirs.select(*[f'"{c}"' for c in columns]).fetchall()), key=key)
     assert a == b
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout) >= len(queries.queries())
