@@ -137,8 +137,48 @@ def _window_rows(slim: DataFrame, window: int, shared) -> DataFrame:
     return slim.mapInArrow(run, "h long, tail long, id long, row long")
 
 
-def _finish(slim: DataFrame, window: int) -> DataFrame:
-    """(id, n_words, n_removed, kept) of texts with the first words of their repeated windows in ``starts``."""
+RESULT = "id long, n_words long, n_removed long, kept string"
+
+
+def _result(ids: pa.Array, words: tk.Words, gone: np.ndarray) -> pa.RecordBatch:
+    """Counts and the words that stay, joined by one space."""
+    rows = len(words.per_doc)
+    stay = np.flatnonzero(~gone)
+    cut = np.searchsorted(words.doc[stay], np.arange(rows + 1))
+    data = words.data.tobytes()
+    a, b = words.start[stay].tolist(), words.end[stay].tolist()
+    texts = [b" ".join([data[i:j] for i, j in zip(a[cut[d] : cut[d + 1]], b[cut[d] : cut[d + 1]])]).decode() for d in range(rows)]
+    removed = words.per_doc - np.diff(cut)
+    return pa.RecordBatch.from_arrays([ids, pa.array(words.per_doc.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(texts, pa.string())], ["id", "n_words", "n_removed", "kept"])
+
+
+def _parted(slim: DataFrame, window: int, shared) -> tuple[DataFrame, DataFrame]:
+    """Results of the texts in which the sketch rules out every window, and the other rows."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        bits, maps = shared.value
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                words = tk.words_of(part.column(2))
+                maybe = np.zeros(part.num_rows, dtype=bool)
+                maybe[words.doc[estimated(words, window, bits, maps)]] = True
+                yield part, maybe
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, maybe in rows(batches):
+            part = part.filter(pa.array(~maybe))
+            words = tk.words_of(part.column(2), hashed=False)
+            yield _result(part.column(0), words, np.zeros(len(words.start), dtype=bool))
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, maybe in rows(batches):
+            yield part.filter(pa.array(maybe))
+
+    return slim.mapInArrow(done, RESULT), slim.mapInArrow(left, slim.schema)
+
+
+def _finish(joined: DataFrame, window: int) -> DataFrame:
+    """Results of texts with the first words of their repeated windows in ``starts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,24 +190,16 @@ def _finish(slim: DataFrame, window: int) -> DataFrame:
                 at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(words.first[:-1], many)
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + window, -1)
-                gone = np.cumsum(cover)[:-1] > 0
-                stay = np.flatnonzero(~gone)
-                owner = words.doc[stay]
-                cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                data = words.data.tobytes()
-                a, b = words.start[stay].tolist(), words.end[stay].tolist()
-                texts = [b" ".join([data[i:j] for i, j in zip(a[cut[d] : cut[d + 1]], b[cut[d] : cut[d + 1]])]) for d in range(part.num_rows)]
-                removed = words.per_doc - np.diff(cut)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.per_doc.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([x.decode() for x in texts], pa.string())], ["id", "n_words", "n_removed", "kept"])
+                yield _result(part.column(0), words, np.cumsum(cover)[:-1] > 0)
 
-    return slim.mapInArrow(run, "id long, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(run, RESULT)
 
 
-def repeated_windows(slim: DataFrame, window: int) -> DataFrame:
+def repeated_windows(slim: DataFrame, window: int, shared) -> DataFrame:
     """(id, row, starts): the first words of each text's windows that occur more than once, written."""
-    shared = slim.sparkSession.sparkContext.broadcast(sketch(slim, window))
     rows = _window_rows(slim, window, shared).select("h", F.shiftright("tail", 32).cast("int").alias("g"), "id", "row", F.col("tail").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"))
-    counted = rows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
+    # Written, so that the join below shuffles both sides itself and Spark may split a window that very many texts share.
+    counted = kept(rows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g"), "windows")
     found = rows.join(counted, ["h", "g"]).groupBy("id", "row").agg(F.collect_set("at").alias("starts"))
     return kept(found, "repeated")
 
@@ -175,7 +207,9 @@ def repeated_windows(slim: DataFrame, window: int) -> DataFrame:
 def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept) of each document; ``kept`` has the words that stay, joined by one space."""
     slim = _slim(docs, id_col, text_col)
-    found = repeated_windows(slim, window).withColumnsRenamed({"id": "__id", "row": "__row"})
+    shared = slim.sparkSession.sparkContext.broadcast(sketch(slim, window))
+    found = repeated_windows(slim, window, shared).withColumnsRenamed({"id": "__id", "row": "__row"})
     found = broadcast_if_small(found, found.agg(F.coalesce(F.sum(F.size("starts") + F.lit(4)), F.lit(0)).alias("n")).first().n, 8)
-    joined = slim.join(found, F.col("id").eqNullSafe(F.col("__id")) & F.col("row").eqNullSafe(F.col("__row")), "left")
-    return _finish(joined.select("id", "row", "text", "starts"), window)
+    clear, rest = _parted(slim, window, shared)
+    joined = rest.join(found, F.col("id").eqNullSafe(F.col("__id")) & F.col("row").eqNullSafe(F.col("__row")), "left")
+    return clear.unionByName(_finish(joined.select("id", "row", "text", "starts"), window))
