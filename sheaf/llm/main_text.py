@@ -2,10 +2,12 @@
 
 The standard library's streaming parser yields events; block elements and line breaks end a line. Each line has its
 characters of text over the tags that came with it. Ratios are smoothed along the page with a Gaussian kernel, lines
-above a share of the mean form clusters, and a cluster selects the region it lies in: the page's article or main
-elements if it touches one, else the run of lines between boilerplate. Text in elements that are boilerplate by their
-name, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) has
-ratio 0 and is never selected; a selected region keeps all its other lines, however short.
+above a share of the mean form clusters. A cluster in an article or main element selects all of that element's lines,
+however short. On pages without such a cluster the lines of clusters are selected, and those between two of them with no
+boilerplate in between. Links in succession with nothing else are a link list: they do not count in the mean, and outside
+articles those below its share are never selected, even beside a cluster. Text in elements that are boilerplate by their
+name, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments) has ratio 0 and is never
+selected; scripts, styles and the like are no text.
 
 Defined results: null and empty pages, and pages without text, give an empty text. Unclosed elements end with the
 element around them or the page. White space inside a line becomes one space. Repeated rows give repeated results.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +28,11 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 SIGMA = 1.5
 RADIUS = 4
-#: A line belongs to a cluster with this share of the mean smoothed ratio of lines that have any.
+#: A line belongs to a cluster with this share of the geometric mean of smoothed ratios of lines that have any and are no link list.
 SHARE = 0.5
 
 # HTML element names by what they mean here.
+KEPT, SHUT, UNREAD = range(3)  # text, boilerplate, no text at all
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark output q rp rt ruby s samp small span strike strong sub sup time tt u var del".split())
 NO_TEXT = frozenset("head script style noscript template svg math canvas iframe object audio video select option datalist button textarea".split())
@@ -43,6 +47,9 @@ NAMES = frozenset(
 )
 
 
+Line = tuple[str, int, bool, int, int]
+
+
 def _named_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         if name in ("class", "id") and value and NAMES & set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
@@ -53,27 +60,31 @@ def _named_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, excluded, root) of each line as events arrive."""
+    """Collects (text, tags, excluded, root, links if it has no other words) of each line as events arrive."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # structural elements: name, excluded, root's number
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.open: list[tuple[str, int, int]] = []  # structural elements: name, excluded, root's number
+        self.lines: list[Line] = []
         self.held: list[str] = []
-        self.tags = self.roots = 0
+        self.tags = self.roots = self.links = 0
+        self.linked = self.other = False
 
-    def _state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def _state(self) -> tuple[int, int]:
+        return self.open[-1][1:] if self.open else (KEPT, 0)
 
     def end_line(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            self.lines.append((text, self.tags, *self._state()))
+            excluded, root = self._state()
+            self.lines.append((text, self.tags, excluded != KEPT, root, 0 if self.other else self.links))
             self.tags = 0
-        self.held = []
+        self.held, self.links, self.other = [], 0, False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if tag == "a":
+            self.linked = any(name == "href" for name, _ in attrs)
         if tag in INLINE and not _named_boilerplate(attrs):
             return
         if tag in ("td", "th"):
@@ -92,7 +103,10 @@ class Lines(HTMLParser):
                 self.roots += 1
                 root = self.roots
         else:
-            excluded = excluded or tag in NO_TEXT or tag in BOILERPLATE or tag == "header" and not root or tag not in ("html", "body") and _named_boilerplate(attrs)
+            if tag in NO_TEXT:
+                excluded = UNREAD
+            elif not excluded and (tag in BOILERPLATE or tag == "header" and not root or tag not in ("html", "body") and _named_boilerplate(attrs)):
+                excluded = SHUT
         self.open.append((tag, excluded, root))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -102,6 +116,8 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag == "a":
+            self.linked = False
         if tag in INLINE and not any(name == tag for name, _, _ in self.open) or tag in ("td", "th", "br"):
             return
         self.end_line()
@@ -116,10 +132,14 @@ class Lines(HTMLParser):
                 return  # a stray end tag of a line does not close what is around it
 
     def handle_data(self, data: str) -> None:
-        if not self._state()[0]:
-            self.held.append(data)
+        if self._state()[0] == UNREAD:
+            return
+        self.held.append(data)
+        if any(x.isalnum() for x in data):
+            self.links += self.linked
+            self.other = self.other or not self.linked
 
-    def finish(self, html: str) -> list[tuple[str, int, bool, int]]:
+    def finish(self, html: str) -> list[Line]:
         for at in range(0, len(html), CHUNK):
             self.feed(html[at : at + CHUNK])
         if self.rawdata.startswith("<!--"):  # an unclosed comment lasts to the end
@@ -134,24 +154,43 @@ def smoothed(ratio: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(ratio, RADIUS, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def selected(lines: list[tuple[str, int, bool, int]]) -> list[int]:
+def link_lists(lines: list[Line]) -> np.ndarray:
+    """Which lines are of runs of lines with links only, two links or more in a run."""
+    out = np.zeros(len(lines), dtype=bool)
+    at = 0
+    for (only, shut), run in groupby(lines, key=lambda x: (x[4] > 0, x[2])):
+        links = [x[4] for x in run]
+        out[at : at + len(links)] = only and not shut and sum(links) > 1
+        at += len(links)
+    return out
+
+
+def selected(lines: list[Line]) -> list[int]:
     """Indexes of the lines in selected regions."""
-    if not lines:
-        return []
-    ratio = np.array([0 if excluded else len(text) / max(1, tags) for text, tags, excluded, _ in lines], dtype=np.float64)
+    ratio = np.array([0 if x[2] else len(x[0]) / max(1, x[1]) for x in lines], dtype=np.float64)
     if not ratio.any():
         return []
-    level = smoothed(ratio)
-    own = (level >= SHARE * level[level > 0].mean()) & (ratio > 0)
+    level, lists = smoothed(ratio), link_lists(lines)
+    counted = (ratio > 0) & ~lists
+    # In proportion, as ratios spread widely: one very long line must not part other text from its cluster.
+    least = SHARE * np.exp(np.log(level[counted if counted.any() else ratio > 0]).mean())
+    own = (level >= least) & (ratio > 0)
     if not own.any():
         own = ratio == ratio.max()
     roots = {lines[i][3] for i in np.flatnonzero(own)} - {0}
     if roots:
         return [i for i, x in enumerate(lines) if x[3] in roots and not x[2]]
-    # No article: a cluster's region is what lies between boilerplate lines around it.
+    # No article: clusters, and what lies between two of them without boilerplate.
+    lists &= ratio < least
+    own = own & ~lists | (ratio == ratio.max())
     walls = np.cumsum([x[2] for x in lines])
-    regions = {walls[i] for i in np.flatnonzero(own)}
-    return [i for i, x in enumerate(lines) if not x[2] and walls[i] in regions]
+    picked = np.flatnonzero(own)
+    out = [int(picked[0])]
+    for i in picked[1:].tolist():
+        if walls[out[-1]] == walls[i]:
+            out += [k for k in range(out[-1] + 1, i) if not lists[k]]
+        out.append(i)
+    return out
 
 
 def main_text(html: str | None) -> str:

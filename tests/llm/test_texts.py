@@ -75,6 +75,28 @@ def test_main_text(html, text):
     assert main_text.main_text(html) == text
 
 
+LINKS = "".join(f"<li><a href='/{x}'>Part {x}</a></li>" for x in "abcdefghijkl")
+FOOT = "".join(f"<p><small>Line {x}</small></p>" for x in "abcdefgh")
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<div><ul>{LINKS}</ul></div><div>{ARTICLE * 3}</div>", "\n".join([TEXT] * 3)),  # a menu without a name
+    (f"<div>{LINKS * 30}</div><div>{ARTICLE}</div>", TEXT), (f"<div><a href=a>Home</a> | <a href=b>News</a></div><div>{ARTICLE * 3}</div>", "\n".join([TEXT] * 3)),
+    (f"<div>{ARTICLE}<ul>{LINKS}</ul><p>Short</p>{ARTICLE}</div>", f"{TEXT}\nShort\n{TEXT}"),
+    (f"<div>{ARTICLE}" + "<p>x</p>" * 12 + f"{ARTICLE}</div>", "\n".join([TEXT, *"x" * 12, TEXT])),  # short lines between clusters
+    (f"<div><ul>{LINKS}</ul></div>", "\n".join(f"Part {x}" for x in "abcdefghijkl")),  # nothing but links
+    (f"<nav><script>var a = '{'x' * 500}'</script>Menu</nav><p>a</p>", "a"),
+])
+def test_main_text_without_article(html, text):
+    assert main_text.main_text(html) == text
+
+
+def test_clusters_decide_without_article():
+    lines = main_text.main_text(f"<div>{ARTICLE * 3}</div><div>{FOOT}</div>").split("\n")
+    assert lines[:3] == [TEXT] * 3 and len(lines) <= 3 + main_text.RADIUS and "Line h" not in lines
+    assert "x" not in main_text.main_text(f"<div>{ARTICLE * 3}</div>{'<p>x</p>' * 9}<nav>Menu</nav>{'<p>x</p>' * 9}<div>{ARTICLE * 3}</div>").split("\n")[6:-6]
+
+
 def test_extracted(spark):
     pages = spark.createDataFrame([(1, "u", f"<article>{ARTICLE * 3000}</article>", "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     rows = {r.page_id: r.text for r in main_text.extracted(pages).collect()}
