@@ -13,6 +13,7 @@ one with the most words aligned, times its coverage, counts. Repeated rows give
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -98,21 +99,34 @@ class Scanner:
         self.templates = {name: WORD.findall(text.lower()) for name, text in templates.items()}
         self.coverage = coverage
         self.vocabulary = {w for words in self.templates.values() for w in words}
-        #: A text without any of a template's rarer words (in few templates) cannot reach the coverage.
+        #: A template's rarer words (in few templates), so many that all their places together are more than may be missing:
+        #: a text without any of them cannot reach the coverage.
         uses = Counter(w for words in self.templates.values() for w in set(words))
         self.wanted = {name: Counter(words) for name, words in self.templates.items()}
-        self.triggers = {name: sorted(set(words), key=lambda w: (uses[w], -len(w), w))[: max(1, len(set(words)) - int(coverage * len(words)) + 1)] for name, words in self.templates.items()}
+        self.triggers = {name: self._triggers(name, uses) for name in self.templates}
+
+    def _triggers(self, name: str, uses: Counter[str]) -> list[str]:
+        wanted, missing = self.wanted[name], len(self.templates[name]) - math.ceil(self.coverage * len(self.templates[name]))
+        out: list[str] = []
+        for word in sorted(wanted, key=lambda w: (uses[w], -len(w), w)):
+            if missing < 0:
+                break
+            out.append(word)
+            missing -= wanted[word]
+        return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, past-last word) of each place, by place."""
         words = WORD.findall((text or "").lower())
         known = [(i, w) for i, w in enumerate(words) if w in self.vocabulary]
-        present = {w for _, w in known}
+        present = Counter(w for _, w in known)
         found = []
         for name, template in self.templates.items():
             if not any(t in present for t in self.triggers[name]):
                 continue
             wanted = self.wanted[name]
+            if sum(min(n, present[w]) for w, n in wanted.items()) < self.coverage * len(template):
+                continue
             mine = [i for i, w in known if w in wanted]
             span = int(len(template) * SLACK) + 2
             least = self.coverage * len(template)

@@ -177,6 +177,31 @@ def test_scan(text, names):
     assert [x[0] for x in licences.Scanner().scan(text)] == names
 
 
+@pytest.mark.parametrize("name", ["MIT", "ISC", "BSD-2-Clause", "Apache-2.0-header"])
+def test_scan_with_any_word_altered(name):
+    scanner = licences.Scanner()
+    template = scanner.templates[name]
+    for i in range(len(template)):
+        assert name in [x[0] for x in scanner.scan(" ".join([*template[:i], "zzz", *template[i + 1 :]]))], template[i]
+    for word in scanner.vocabulary:  # every place of a word
+        if template.count(word) <= 5:
+            assert name in [x[0] for x in scanner.scan(" ".join("zzz" if w == word else w for w in template))], word
+
+
+def test_scan_spelled_otherwise():
+    scan = licences.Scanner().scan
+    assert [x[0] for x in scan(licences.TEMPLATES["MIT"].replace("noninfringement", "non-infringement"))] == ["MIT"]
+    assert [x[0] for x in scan(licences.TEMPLATES["Apache-2.0-header"].replace("www.apache.org", "apache.org"))] == ["Apache-2.0-header"]
+
+
+def test_triggers_are_more_than_may_be_missing():
+    for coverage in (0.5, 0.8, 1.0):
+        scanner = licences.Scanner(coverage=coverage)
+        for name, template in scanner.templates.items():
+            rest = [w for w in template if w not in scanner.triggers[name]]
+            assert len(rest) < coverage * len(template)
+
+
 def test_scanned(weird, nothing):
     assert licences.scanned(weird).filter(F.size("licenses") > 0).count() == 0 == licences.scanned(nothing).count()
 
