@@ -10,7 +10,10 @@ American), ipv4, date (a real day from 1900 to 2099, kept in its notation), key
 password, token, secret or api_key).
 
 Texts without a digit or an at sign are passed over at once. Null and empty texts stay as they are and hold nothing.
-Overlapping candidates go to the leftmost, then to the kind named first. Repeated rows give repeated results.
+Overlapping candidates go to the leftmost, then to the kind named first. An invalid candidate is tried again without its
+last groups (an IBAN first at its country's length), then the search goes on behind its first character. Pseudonyms leave
+refused forms around them invalid, so that ``undo`` finds the same values; a value within such a form (a card before a
+short number, say) may for that have another pseudonym than it has alone. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -142,6 +145,27 @@ def _day(text: str) -> tuple[int, str, str] | None:
     return None
 
 
+# IBAN lengths by country.
+IBAN_LENGTHS = {country: int(n) for n, *countries in map(str.split, (
+    "15 NO;16 BE;18 DK FI FO GL NL SD FK;19 MK SI;20 AT BA EE KZ LT LU MN XK;21 CH HR LI LV;22 BG BH CR DE GB GE IE ME RS VA;23 AE GI IL IQ OM SO TL;24 AD CZ ES MD PK RO SA SE SK TN VG;"
+    "25 LY PT ST;26 IS TR;27 BI DJ FR GR IT MC MR SM;28 AL AZ BY CY DO GT HU LB NI PL SV;29 BR EG PS QA UA;30 JO KW MU YE;31 MT SC;32 LC;33 RU").split(";")) for country in countries}
+
+
+def forms(kind: str, text: str) -> list[int]:
+    """Ends of the forms of a candidate, in the order they are tried: whole, then without its last groups."""
+    ends = [len(text)]
+    if kind in ("iban", "card", "phone"):
+        ends += [m.start() for m in re.finditer(r"(?<=[A-Z0-9])[ .-]+", text)][::-1]
+    if kind == "iban":
+        size = IBAN_LENGTHS.get(text[:2])
+        exact = [end for end in ends if len(text[:end].replace(" ", "")) == size]
+        ends = [*exact, *(end for end in ends if end not in exact and (size is None or end == len(text)))]
+        ends = [end for end in ends if len(text[:end].replace(" ", "")) >= 12]
+    if kind == "card":
+        ends = [end for end in ends if sum(c.isdigit() for c in text[:end]) >= 13]
+    return ends
+
+
 class Pseudonyms:
     """Finds values and permutes them under one key; ``undo`` reverses it."""
 
@@ -179,66 +203,105 @@ class Pseudonyms:
         shape = "".join("." if k is None else str(len(k)) for k in kinds)
         return head + to_text(self._walk(f"{kind}|{head}|{shape}", value, size, back, valid and (lambda v: valid(head + to_text(v, tail, kinds)))), tail, kinds)
 
-    def value(self, kind: str, text: str, back: bool = False) -> str | None:
-        """The pseudonym of a candidate, or None if it is not a valid value of its kind."""
+    def valid(self, kind: str, text: str) -> bool:
+        """Whether a candidate is a value of its kind."""
+        digits = re.sub(r"\D", "", text)
+        if kind == "key":
+            return bool(re.search(r"\d", text))
+        if kind == "card":
+            return luhn(digits) and len(set(digits)) > 1
+        if kind == "iban":
+            return mod97(text.replace(" ", "")) == 1
+        if kind == "ipv4":
+            return _ipv4(text)
+        if kind == "date":
+            return _day(text) is not None
+        return kind != "phone" or _phone(digits, text[0] == "+" and text[1] != "1")
+
+    def value(self, kind: str, text: str, back: bool = False, fits: Callable[[str], bool] = lambda new: True) -> str | None:
+        """The pseudonym of a candidate, one that ``fits`` as the text itself does, or None if it is no value of its kind."""
+        if not self.valid(kind, text):
+            return None
         digits = re.sub(r"\D", "", text)
         if kind == "email":
             local, at, domain = text.partition("@")
-            return self._spelled(kind, local, back) + at + domain
+            return self._spelled(kind, local, back, lambda x: fits(x + at + domain)) + at + domain
         if kind == "key":
-            return self._spelled(kind, text, back) if re.search(r"\d", text) else None
+            return self._spelled(kind, text, back, lambda x: fits(x))
         if kind == "access":
-            return self._spelled(kind, text, back, fixed=4)
+            return self._spelled(kind, text, back, lambda x: fits(x), fixed=4)
+
+        def spaced(new: str) -> str:
+            it = iter(new)
+            return "".join(next(it) if c.isalnum() else c for c in text)
+
         if kind == "card":
-            if not luhn(digits) or len(set(digits)) == 1:
-                return None
-            body = self._spelled(kind, digits[:-1], back, fixed=1)
-            new = next(body + c for c in string.digits if luhn(body + c))
-        elif kind == "iban":
+            whole = lambda body: spaced(next(body + c for c in string.digits if luhn(body + c)))
+            return whole(self._spelled(kind, digits[:-1], back, lambda body: fits(whole(body)), fixed=1))
+        if kind == "iban":
             plain = text.replace(" ", "")
-            if mod97(plain) != 1:
-                return None
-            body = self._spelled(kind + plain[:2], plain[4:], back)
-            new = f"{plain[:2]}{98 - mod97(plain[:2] + '00' + body):02d}{body}"
-            it = iter(new)
-            return "".join(c if c == " " else next(it) for c in text)
-        elif kind == "ipv4":
-            if not _ipv4(text):
-                return None
+            whole = lambda body: spaced(f"{plain[:2]}{98 - mod97(plain[:2] + '00' + body):02d}{body}")
+            return whole(self._spelled(kind + plain[:2], plain[4:], back, lambda body: fits(whole(body))))
+        if kind == "ipv4":
+            dotted = lambda v: ".".join(map(str, v.to_bytes(4, "big")))
             number = int.from_bytes(bytes(map(int, text.split("."))), "big")
-            number = self._walk(kind, number, 1 << 32, back, lambda v: v >> 24 > 0)
-            return ".".join(map(str, number.to_bytes(4, "big")))
-        elif kind == "date":
-            day = _day(text)
-            if day is None:
-                return None
-            at, separator, form = day
-            ambiguous = lambda v: (_day(_written(v, separator, form)) or (v,))[0] == v
-            return _written(self._walk(kind + form, at, DAYS, back, ambiguous), separator, form)
-        else:
-            abroad = text[0] == "+" and text[1] != "1"
-            if not _phone(digits, abroad):
-                return None
-            code = len(re.match(r"\+(\d{1,3})", text)[1]) if text[0] == "+" else 0
-            code = min(code if abroad else 1 if len(digits) == 11 else 0, len(digits) - 5)
-            new = self._spelled(kind, digits, back, lambda d: _phone(d, abroad), fixed=code)
-        it = iter(new)
-        return "".join(next(it) if c.isdigit() else c for c in text)
+            return dotted(self._walk(kind, number, 1 << 32, back, lambda v: v >> 24 > 0 and fits(dotted(v))))
+        if kind == "date":
+            at, separator, form = _day(text)
+            plain_day = lambda v: (_day(_written(v, separator, form)) or (v,))[0] == v and fits(_written(v, separator, form))
+            return _written(self._walk(kind + form, at, DAYS, back, plain_day), separator, form)
+        abroad = text[0] == "+" and text[1] != "1"
+        code = len(re.match(r"\+(\d{1,3})", text)[1]) if text[0] == "+" else 0
+        code = min(code if abroad else 1 if len(digits) == 11 else 0, len(digits) - 5)
+        return spaced(self._spelled(kind, digits, back, lambda d: _phone(d, abroad) and fits(spaced(d)), fixed=code))
+
+    def candidates(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+        """(kind, start, end) of the values, in order, and of the forms that were refused."""
+        values, refused, at = [], [], 0
+        while m := self.PATTERN.search(text, at):
+            kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k])
+            start, at = m.start(kind), m.start() + 1
+            for end in forms(kind, m[kind]):
+                if self.valid(kind, text[start : start + end]):
+                    values.append((kind, start, start + end))
+                    at = start + end
+                    break
+                refused.append((kind, start, start + end))
+        return values, refused
 
     def replaced(self, text: str | None, back: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each in it."""
         if not text or not re.search(r"[0-9@]", text):
             return text, []
+        values, refused = self.candidates(text)
+        new = {span: text[span[1] : span[2]] for span in values}
+
+        def now(start: int, end: int, around: list[tuple[str, int, int]]) -> str:
+            """A stretch of the text as replaced so far; values that reach over its end are cut there."""
+            out, at = [], start
+            for span in around:
+                a, b = max(span[1], start), min(span[2], end)
+                out += [text[at:a], new[span][a - span[1] : len(new[span]) if b == span[2] else b - span[1]]]
+                at = b
+            return "".join([*out, text[at:end]])
+
+        # Undone in the opposite order, each value sees what it saw before.
+        for span in reversed(values) if back else values:
+            kind, start, end = span
+            near = [(k, a, b, [v for v in values if v[1] < b and a < v[2]]) for k, a, b in refused if a < end and start < b]
+
+            def fits(x: str) -> bool:
+                new[span] = x
+                return not any(self.valid(k, now(a, b, around)) for k, a, b, around in near)
+
+            new[span] = self.value(kind, text[start:end], back, fits if near else lambda x: True)
         out, found, at, size = [], [], 0, 0
-        for m in self.PATTERN.finditer(text):
-            kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k])
-            new = self.value(kind, m[kind], back)
-            if new is None:
-                continue
-            out += [text[at : m.start(kind)], new]
-            size += m.start(kind) - at
-            found.append(("key" if kind == "access" else kind, size, size + len(new)))
-            size, at = size + len(new), m.end(kind)
+        for span in values:
+            kind, start, end = span
+            out += [text[at:start], new[span]]
+            size += start - at
+            found.append(("key" if kind == "access" else kind, size, size + len(new[span])))
+            size, at = size + len(new[span]), end
         return "".join([*out, text[at:]]), found
 
     def undo(self, text: str | None) -> str | None:
