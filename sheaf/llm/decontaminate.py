@@ -160,17 +160,15 @@ def member(hashes: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     return maybe[sorted_keys[at] == hashes[maybe]]
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> list[Probe]:
-    """The items on the driver, in blocks of at most about BLOCK_BYTES of text each."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[Probe]:
+    """The items on the driver, in blocks of at most about BLOCK_BYTES of text each, one at a time."""
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
-    out = []
     for b in range(blocks):
         got = rows.filter(block == b).toArrow()
-        out.append(Probe.of(got.column("id").to_pylist(), got.column("text").combine_chunks(), window))
-    return out
+        yield Probe.of(got.column("id").to_pylist(), got.column("text").combine_chunks(), window)
 
 
 def rarity(docs: DataFrame, text_col: str, probe: Probe) -> dict[int, dict[int, int]]:
@@ -207,14 +205,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     ``into`` names the struct; a trailing ``_`` is added where the name is taken.
     """
     into = unused(docs, into)
-    blocks = item_blocks(items, id_col, item_text, window)
-    out = docs
-    for i, probe in enumerate(blocks):
+    out, index = docs, None
+    for probe in item_blocks(items, id_col, item_text, window):  # no enumerate: it would hold the block before
+        first = index is None
+        if not first:
+            out = kept(out, "decontaminated")
+            index.unpersist()
         seen = rarity(docs, text_col, probe)
         index = docs.sparkSession.sparkContext.broadcast(probe.order(seen))
-        out = _scan(out, text_col, index, into, first=i == 0)
-        if i < len(blocks) - 1:
-            out = kept(out, "decontaminated")
+        del probe, seen
+        out = _scan(out, text_col, index, into, first)
     return out
 
 

@@ -215,6 +215,25 @@ def test_contamination(spark, monkeypatch, block):
     assert got == hits(docs, items)
 
 
+def test_one_block_of_items_at_a_time(spark, monkeypatch):
+    import weakref
+
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    made, most, of = [], [], decontaminate.Probe.of
+
+    def counted(*values):
+        probe = of(*values)
+        made.append(weakref.ref(probe))
+        most.append(sum(x() is not None for x in made))
+        return probe
+
+    monkeypatch.setattr(decontaminate.Probe, "of", counted)
+    items = [(i, f"alpha{i} beta{i} gamma{i}") for i in range(8)]
+    docs = [(i, f"x alpha{i} beta{i} gamma{i} y") for i in range(10)]
+    got = found(decontaminate.contamination(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == hits(docs, items) and len(made) > 2 and max(most) == 1
+
+
 def test_contamination_edges(spark, weird, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert found(decontaminate.contamination(weird, none)) == hits([(r.doc_id, r.text) for r in weird.collect()], [])
