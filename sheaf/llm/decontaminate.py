@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from sheaf.llm import textkit as tk
 from sheaf.llm.exact_dedup import unused
-from sheaf.llm.storage import kept
+from sheaf.storage import kept
 
 WINDOW = 10
 SHINGLE = 3

@@ -16,13 +16,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.llm import textkit as tk
 from sheaf.llm.joins import lookup
-from sheaf.llm.storage import fresh_path, kept
+from sheaf.storage import fresh_path, kept
 
 MEMTABLE_ROWS = 100_000
 RUN_SCHEMA = "digest binary, id long, n long"
@@ -105,6 +105,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all that a row holds, for ties between rows; of any column types."""
+    return F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+
+
 def with_digest(docs: DataFrame, text_col: str, name: str, text_name: str | None = None) -> DataFrame:
     """All columns, the digest, and if asked the normalised text as bytes."""
     index = docs.columns.index(text_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.storage import kept
+from sheaf.storage import Scratch
 
 #: Most bytes of a broadcast side, by its counted rows; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -38,14 +38,15 @@ def hinted(written: DataFrame, row_bytes: int) -> DataFrame:
     return broadcast_if_small(written, written.count(), row_bytes)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, into: Scratch) -> DataFrame:
     """(node, label) for all nodes of edges (x, y), written; a label is the smallest node of its component.
 
     Smallest labels spread over edges, and labels of labels are followed, until nothing changes.
     """
+    own, last = Scratch(edges.sparkSession), None
     x, y = F.col("x"), F.col("y")
-    both = kept(edges.select(F.explode(F.array(F.struct(x, y), F.struct(y.alias("x"), x.alias("y")), F.struct(x, x.alias("y")), F.struct(y.alias("x"), y))).alias("e")).select("e.*").distinct(), "edges")
-    labels = kept(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label")), "labels")
+    both = own.kept(edges.select(F.explode(F.array(F.struct(x, y), F.struct(y.alias("x"), x.alias("y")), F.struct(x, x.alias("y")), F.struct(y.alias("x"), y))).alias("e")).select("e.*").distinct(), "edges")
+    labels = own.kept(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label")), "labels")
     few = labels.count() * 32 <= BROADCAST_BYTES
     while True:
         side = F.broadcast(labels) if few else labels
@@ -53,6 +54,12 @@ def components(edges: DataFrame) -> DataFrame:
         jump = side.select(F.col("node").alias("at"), F.col("label").alias("far"))
         was = side.select(F.col("node").alias("same"), F.col("label").alias("was"))
         moved = near.join(jump, F.col("next") == F.col("at")).join(was, F.col("node") == F.col("same"))
-        labels = kept(moved.select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("was")).alias("changed")), "labels")
+        step = Scratch(edges.sparkSession)
+        labels = step.kept(moved.select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("was")).alias("changed")), "labels")
+        if last:
+            last.drop()
+        last = step
         if labels.filter("changed").isEmpty():
+            own.drop()
+            into.paths += last.paths
             return labels.select("node", "label")

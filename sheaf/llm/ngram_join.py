@@ -3,21 +3,30 @@
 A document's set has its distinct word n-grams, ordered by hash; documents with equal sets form a class, and classes are
 what is joined. The global n-gram order is cut into fragments. For a size level whose sets can differ in at most D
 n-grams and still be similar enough, D + 1 fragments are cut, so two linked sets agree entirely in at least one. Classes
-that agree in some fragment form a bucket (spare fragments make up for those that are empty; in a set with more of those, an
-empty one counts together with a fragment of a second order, so that chance brings nobody together). Sets that share
-too few of the first n-grams of the order with any other set are left out beforehand. Overlaps of candidate pairs are then counted separately in each of ``PARTS``
-coarser fragments of the order and summed per pair.
+that agree in some fragment form a bucket (spare fragments make up for those that are empty; in a set with more of those,
+an empty one counts together with a fragment of a second order, so that chance brings nobody together). Sets that share
+too few of the first n-grams of the order with any other set are left out beforehand. Overlaps of candidate pairs are
+then counted separately in each of ``PARTS`` coarser fragments of the order and summed per pair.
 
-Buckets of few classes (``SMALL``) try all pairs. A larger bucket is tried as a star around its most connected class p,
-and loses no link by that. Let U be the union of p and two more of the bucket's classes: if x is not joined with p, then a
-link of x with y either lies inside U, and is tried if the overlaps with U leave room for it, or shares an n-gram
-outside U, and is tried in the bucket of that n-gram, in the same way. Components are found by label propagation on verified links. No group is ever gathered in one task. Pairs of
-a large group are made only where these bounds leave room for a link, or plainly after ``ROUNDS`` rounds of stars.
+A larger bucket is not tried in all pairs. Let u be the n-grams that most of a sample of its sets have (any u would do),
+d(x) = x and u's symmetric difference, f(x) = |d(x)| - b |x| with b = (1 - t) / (1 + t) for similarity t, and c the set
+with the least f. All sets are compared with c. Sets x and y link if |d(x)| + |d(y)| - 2 |d(x) & d(y)| <= b (|x| + |y|), so
+
+* if d(x) and d(y) share nothing, f(x) + f(c) <= f(x) + f(y) <= 0, and x links with c, and so does y: nothing is left to do;
+* else they share at least (f(x) + f(y)) / 2 n-grams, which rules most sets out, and bounds how far down the order of d(x)
+  the first shared one lies: x and y meet again in that n-gram's bucket in the next turn. As u has what most sets have, an n-gram that x
+  lacks or has beyond u is one that few sets lack or have: those buckets are about half as large at most.
+
+Buckets whose members are all of one component are done. Turns go on until none is left; buckets of few classes
+(``SMALL``) try their pairs at once. So no pairs of a whole group are ever made, and no link is lost. Components are
+found by label propagation on verified links. No group is gathered in one task.
+
+Classes are told apart by 128 bits from two hashes that are independent from the texts' bytes on.
 
 Defined results: A-Z are lower-cased, words are runs without ASCII white space; texts of fewer words than n are one
 n-gram; null, empty and blank texts have empty sets and no links. Equal texts link. A component is named by its
-smallest id; null ids count only if there is no other. Repeated rows give repeated results. Other columns are ignored
-or passed on.
+smallest id; null ids count only if there is no other. Repeated rows give repeated results. Other columns, whatever their
+names, are ignored or passed on. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,17 +42,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm import textkit as tk
-from sheaf.llm.exact_dedup import unused
+from sheaf.llm.exact_dedup import row_hash, unused
 from sheaf.llm.joins import BROADCAST_BYTES, broadcast_if_small, components, hinted, lookup
-from sheaf.llm.storage import kept
+from sheaf.storage import Scratch, kept
 
 #: Defaults for corpora without a contract of their own: five words and 0.8.
 N = 5
 PERCENT = 80
 PARTS = 8
-#: Buckets of up to so many classes try all pairs; those of n-grams outside all centres, in later turns, are rarer.
-SMALL, SMALL_LATER = 8, 64
-ROUNDS = 6
+#: Below this similarity a set has about as many fragments as n-grams; the first n-grams of the order then serve as well.
+FRAGMENTS_FROM = 75
+#: Buckets of up to so many classes try all pairs.
+SMALL = 6
+#: Pairs a class, on average, that are few enough to try them all.
+PLAIN = 16
+#: About so many sets of a larger group say what most of it has; results do not depend on which.
+SAMPLE = 16
 ROW_BYTES = 64
 
 
@@ -63,17 +77,17 @@ def most_different(total: int, percent: int) -> int:
     return total * (100 - percent) // (100 + percent)
 
 
-def sets_of(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+def sets_of(texts: pa.Array, n: int, which: int = 0) -> Iterator[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
-    words = tk.words_of(texts, tk.NOT_SPACE, lower=True)
-    first, grams = tk.windows(words.hash + tk.U64(n), words.doc, n)
+    words = tk.words_of(texts, tk.NOT_SPACE, True, which)
+    first, grams = tk.windows(words.hash + tk.U64(n), words.doc, n, which)
     begin = words.first
     at = np.searchsorted(first, begin)
     for i, count in enumerate(words.per_doc.tolist()):
         if count >= n:
             yield np.unique(grams[at[i] : at[i + 1]])
         elif count:
-            yield tk.windows(words.hash[begin[i] : begin[i + 1]] + tk.U64(count), np.zeros(count, dtype=np.int64), count)[1]
+            yield tk.windows(words.hash[begin[i] : begin[i + 1]] + tk.U64(count), np.zeros(count, dtype=np.int64), count, which)[1]
         else:
             yield np.empty(0, dtype=tk.U64)
 
@@ -110,11 +124,13 @@ def fragments(level: int, percent: int) -> tuple[int, int]:
 
 
 def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
-    """What the set may agree in with another of at least ``percent`` similarity, at its own level and, near the top, the next."""
+    """What the set may agree in with another of at least ``percent`` similarity, at its own level and those above that it can link with."""
     n = len(grams)
-    own = bisect.bisect_right(LEVELS, n) - 1
+    if percent < FRAGMENTS_FROM:
+        return grams[: (100 - percent) * n // 100 + 1]
+    level = bisect.bisect_right(LEVELS, n) - 2
     out = []
-    for level in [own, own + 1] if 100 * n >= percent * LEVELS[own + 1] else [own]:
+    while (level := level + 1) < len(LEVELS) - 1 and (LEVELS[level] <= n or 100 * n >= percent * LEVELS[level]):
         if most_different(2 * (LEVELS[level + 1] - 1), percent) == 0:
             continue  # only equal sets can link
         count, spare = fragments(level, percent)
@@ -140,36 +156,36 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(id, row, n, class) of each document; ``row`` tells texts apart that share an id."""
+    """(id, row, n, class, check) of each document; ``row`` tells texts apart that share an id, class and check are independent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                sizes, keys = [], []
-                for grams in sets_of(part.column(2), n):
+                sizes, keys, checks = [], [], []
+                for grams, others in zip(sets_of(part.column(2), n), sets_of(part.column(2), n, 1)):
                     sizes.append(len(grams))
                     keys.append(class_of(grams))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["id", "row", "n", "class"])
+                    checks.append(class_of(others))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.int64()) for x in (sizes, keys, checks))], ["id", "row", "n", "class", "check"])
 
-    return docs.mapInArrow(run, "id long, row long, n long, class long")
+    return docs.mapInArrow(run, "id long, row long, n long, class long, check long")
 
 
-def agreements(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, class, n) for each signature of each document."""
+def agreements(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(sig, class, n) for each signature of each of the texts (class, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text", 1 << 20):
                 sigs, keys, sizes = [np.empty(0, dtype=tk.U64)], [], []
-                for grams in sets_of(part.column(2), n):
-                    if len(grams):
-                        sigs.append(signatures(grams, percent))
-                        keys.append(class_of(grams))
-                        sizes.append(len(grams))
+                for key, grams in zip(part.column(0).to_pylist(), sets_of(part.column(1), n)):
+                    sigs.append(signatures(grams, percent))
+                    keys.append(key)
+                    sizes.append(len(grams))
                 many = [len(x) for x in sigs[1:]]
                 yield pa.RecordBatch.from_arrays([tk.signed(np.concatenate(sigs)), pa.array(np.repeat(np.array(keys, dtype=np.int64), many)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), many))], ["sig", "class", "n"])
 
-    return docs.mapInArrow(run, "sig long, class long, n int")
+    return texts.mapInArrow(run, "sig long, class long, n int")
 
 
 def first_grams(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -191,197 +207,240 @@ def first_grams(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "gram long, class long, need int")
 
 
-def vertical(docs: DataFrame, n: int) -> DataFrame:
-    """(class, part, grams): each set cut into PARTS fragments of the global order."""
+def vertical(texts: DataFrame, n: int) -> DataFrame:
+    """(class, part, grams): each set of the texts (class, text) cut into PARTS fragments of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text", 1 << 20):
                 keys, parts, ends, grams = [], [], [0], []
-                for one in sets_of(part.column(2), n):
-                    if not len(one):
-                        continue
-                    key = class_of(one)
+                for key, one in zip(part.column(0).to_pylist(), sets_of(part.column(1), n)):
                     cut = np.searchsorted(one >> tk.U64(61), np.arange(PARTS + 1, dtype=tk.U64))
-                    for p in range(PARTS):
-                        if cut[p] < cut[p + 1]:
-                            keys.append(key)
-                            parts.append(p)
-                            grams.append(one[cut[p] : cut[p + 1]])
-                            ends.append(ends[-1] + len(grams[-1]))
+                    keys += [key] * PARTS
+                    parts += range(PARTS)
+                    grams.append(one)
+                    ends += (ends[-1] + cut[1:]).tolist()
                 values = np.concatenate(grams) if grams else np.empty(0, dtype=tk.U64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tk.signed(values))], ["class", "part", "grams"])
 
-    return docs.mapInArrow(run, "class long, part int, grams array<long>")
+    return texts.mapInArrow(run, "class long, part int, grams array<long>")
 
 
 def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(x, y, both): overlaps counted in each fragment and summed per pair."""
-    some = kept(pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct(), "compared")
+    """The pairs (x, y, nx, ny) with ``both``: overlaps counted in each fragment and summed per pair."""
+    some = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
     count = some.count()
     if count * ROW_BYTES <= BROADCAST_BYTES:
         parts = parts.join(F.broadcast(some), "class", "left_semi")
-    cells = pairs.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     ours = parts.select(F.col("class").alias("x"), "part", F.col("grams").alias("gx"))
     theirs = parts.select(F.col("class").alias("y"), "part", F.col("grams").alias("gy"))
-    beside = cells.join(ours, ["x", "part"], "left").join(theirs, ["y", "part"], "left")
-    part = F.coalesce(F.size(F.array_intersect("gx", "gy")), F.lit(0))
-    return beside.select("x", "y", part.alias("n")).groupBy("x", "y").agg(F.sum("n").alias("both"))
-
-
-def _similar(both, nx, ny, percent: int):
-    return 100 * F.col(both) >= percent * (F.col(nx) + F.col(ny) - F.col(both))
+    beside = pairs.join(theirs, "y").join(ours, ["x", "part"])
+    return beside.select(*pairs.columns, F.size(F.array_intersect("gy", "gx")).alias("both")).groupBy(*pairs.columns).agg(F.sum("both").alias("both"))
 
 
-def _close(nx, ny, percent: int):
-    return 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-
-
-def _distinct_buckets(members: DataFrame, *by: str) -> DataFrame:
-    """Of buckets with the same classes one, with the bucket's size and how many buckets it stands for."""
+def _distinct_buckets(members: DataFrame) -> DataFrame:
+    """Of buckets with the same classes one, with the bucket's size."""
     h = F.xxhash64("class")
     low, high, other = h.bitwiseAND(0x7FFFFFFF), F.shiftrightunsigned(h, 33), F.xxhash64("class", F.lit(1)).bitwiseAND(0x7FFFFFFF)
-    sizes = members.groupBy("key", *by).agg(F.count("*").alias("size"), F.sum(low).alias("a"), F.sum(high).alias("b"), F.sum(other).alias("c"), F.min("class").alias("d"))
-    chosen = sizes.filter("size > 1").groupBy(*by, "size", "a", "b", "c", "d").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "size", "times")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(low).alias("a"), F.sum(high).alias("b"), F.sum(other).alias("c"), F.min("class").alias("d"))
+    chosen = sizes.filter("size > 1").groupBy("size", "a", "b", "c", "d").agg(F.min("key").alias("key")).select("key", "size")
     return members.join(chosen, "key")
 
 
-def _pairs_of(left: DataFrame, right: DataFrame, condition) -> DataFrame:
-    """Distinct pairs x < y of two frames that share a key."""
-    b = right.select("key", *[F.col(c).alias(f"{c}_") for c in right.columns if c != "key"])
-    both = left.join(b, "key").filter((F.col("class") != F.col("class_")) & condition)
-    return both.select(F.least("class", "class_").alias("x"), F.greatest("class", "class_").alias("y")).distinct()
+def _pairs_of(small: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs x < y of different components in small buckets, of sizes that allow a link."""
+    b = small.select("key", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("label").alias("other"))
+    a = small.select("key", F.col("class").alias("x"), F.col("n").alias("nx"), "label")
+    close = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    return a.join(b, "key").filter((F.col("x") < F.col("y")) & (F.col("label") != F.col("other")) & close).select("x", "y", "nx", "ny").distinct()
 
 
-def _sharing(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """Pairs x < y of later turns that may be similar: what both have inside U, what they share outside it in small buckets,
-    and at most all they have in large ones, must be enough."""
-    b = small.select("key", F.col("class").alias("class_"), F.col("n").alias("n_"), F.col("inside").alias("inside_"))
-    both = small.join(b, "key").filter((F.col("class") < F.col("class_")) & _close("n", "n_", percent))
-    shared = both.groupBy("group", F.col("class").alias("x"), F.col("class_").alias("y"), "n", "n_", "inside", "inside_").agg(F.sum("times").alias("shared"))
-    more = large.groupBy("group", "class").agg(F.sum("times").alias("more"))
-    for side in ("x", "y"):
-        shared = shared.join(more.select("group", F.col("class").alias(side), F.col("more").alias(f"more_{side}")), ["group", side], "left")
-    enough = F.least("inside", "inside_") + F.col("shared") + F.coalesce(F.least(F.coalesce("more_x", F.lit(0)), F.coalesce("more_y", F.lit(0))), F.lit(0))
-    return shared.filter((100 + percent) * enough >= percent * (F.col("n") + F.col("n_"))).select("x", "y").distinct()
+def _labelled(df: DataFrame, labels: DataFrame, key: str, into: str) -> DataFrame:
+    found = labels.select(F.col("node").alias(key), F.col("label").alias("__found"))
+    return df.join(found, key, "left").withColumn(into, F.coalesce("__found", key)).drop("__found")
 
 
-def _ordered(x, y) -> list:
-    return [F.least(x, y).alias("x"), F.greatest(x, y).alias("y")]
+def _merged(large: DataFrame, now: Scratch) -> DataFrame:
+    """Large buckets with the same most connected class as one group: distinct (group, class, n)."""
+    weight = hinted(now.kept(large.groupBy("class").agg(F.sum("size").alias("weight")), "weights"), ROW_BYTES)
+    lead = large.join(weight, "class").groupBy("key").agg(F.max_by("class", F.struct("weight", F.xxhash64("class"), "class")).alias("group"))
+    return large.join(hinted(now.kept(lead, "leads"), ROW_BYTES), "key").select("group", "class", "n").distinct()
 
 
-def _labelled(df: DataFrame, labels: DataFrame, key: str, into: str) -> DataFrame:
-    found = labels.select(F.col("node").alias(key), F.col("label").alias("__found"))
-    return df.join(found, key, "left").withColumn(into, F.coalesce("__found", key)).drop("__found")
+def _core(groups: DataFrame, parts: DataFrame, now: Scratch) -> DataFrame:
+    """(group, part, core): in each fragment, the n-grams that most of a sample of the group's sets have."""
+    sizes = now.kept(groups.groupBy("group").agg(F.count("*").alias("size")), "sizes")
+    sample = groups.join(hinted(sizes, ROW_BYTES), "group").filter(F.pmod(F.xxhash64("class", "group"), F.col("size")) < SAMPLE).select("group", "class")
+    sample = now.kept(sample, "sample")
+    many = sample.groupBy("group").agg(F.count("*").alias("many"))
+    grams = hinted(sample, ROW_BYTES).join(parts, "class").select("group", "part", F.explode("grams").alias("gram")).groupBy("group", "part", "gram").agg(F.count("*").alias("have"))
+    most = grams.filter("have > 1").join(many, "group").filter("2 * have > many")
+    return now.kept(most.groupBy("group", "part").agg(F.sort_array(F.collect_list("gram")).alias("core")), "core")
 
 
-def class_links(members: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of all classes with links; ``members`` has (key, class, n), the buckets of candidates."""
-    edges, pending, turn = None, None, 0
-    sizes = hinted(sizes, ROW_BYTES)
+def _star(groups: DataFrame, parts: DataFrame, percent: int, now: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Each group's sets beside its centre: (group, class, n, d, f, centre, fc, linked), and their deltas (group, class, part, more, less)."""
+    core = _core(groups, parts, now)
+    core = broadcast_if_small(core, core.agg(F.coalesce(F.sum(F.size("core") + F.lit(4)), F.lit(0)).alias("n")).first().n, 8)
+    none = F.array().cast("array<bigint>")
+    u = F.coalesce("core", none)
+    cells = groups.join(parts, "class").join(core, ["group", "part"], "left")
+    deltas = now.kept(cells.select("group", "class", "n", "part", F.array_except("grams", u).alias("more"), F.array_except(u, "grams").alias("less")), "deltas")
+    f = (100 + percent) * F.col("d") - (100 - percent) * F.col("n")
+    totals = now.kept(deltas.groupBy("group", "class", "n").agg(F.sum(F.size("more") + F.size("less")).alias("d")).withColumn("f", f), "totals")
+    centres = totals.groupBy("group").agg(F.min_by(F.struct("class", "n", "d", "f"), F.struct("f", "class")).alias("c"))
+    centres = now.kept(centres.select("group", F.col("c.class").alias("centre"), F.col("c.n").alias("nc"), F.col("c.d").alias("dc"), F.col("c.f").alias("fc")), "centres")
+    size = centres.agg(F.coalesce(F.sum(F.col("dc") + 8 * PARTS), F.lit(0)).alias("n")).first().n
+    whose = hinted(centres.select("group", F.col("centre").alias("class")), ROW_BYTES)
+    theirs = broadcast_if_small(deltas.join(whose, ["group", "class"], "left_semi").select("group", "part", F.col("more").alias("more_c"), F.col("less").alias("less_c")), size, 8)
+    both = F.size(F.array_intersect("more", "more_c")) + F.size(F.array_intersect("less", "less_c"))
+    shared = deltas.join(theirs, ["group", "part"]).groupBy("group", "class").agg(F.sum(both).alias("both"))
+    far = F.col("d") + F.col("dc") - 2 * F.col("both")
+    beside = totals.join(shared, ["group", "class"]).join(hinted(centres, ROW_BYTES), "group")
+    linked = (F.col("class") != F.col("centre")) & ((100 + percent) * far <= (100 - percent) * (F.col("n") + F.col("nc")))
+    return now.kept(beside.withColumn("linked", linked).select("group", "class", "n", "d", "f", "centre", "fc", "linked"), "star"), deltas
+
+
+def _next_keys(star: DataFrame, deltas: DataFrame, percent: int, now: Scratch) -> DataFrame:
+    """(key, class, n, label): the n-grams of a set's delta of which a link that is still open needs one.
+
+    A link shares at least (f(x) + f(y)) / 2 n-grams of both deltas, so f(x) <= 2 q(y) - f(y), where q(y) counts those
+    n-grams of d(y) that another delta of the group has. One of the two is not of the centre's component (``rest``).
+    """
+    unsettled = hinted(now.kept(star.filter("rest").select("group").distinct(), "unsettled"), ROW_BYTES)
+    grams = deltas.join(unsettled, "group", "left_semi").select("group", "class", F.explode(F.concat("more", "less")).alias("gram"))
+    several = grams.groupBy("group", "gram").agg(F.count("*").alias("have")).filter("have > 1")
+    common = now.kept(grams.join(several, ["group", "gram"]), "common")
+    unit = 2 * (100 + percent)
+    q = common.groupBy("group", "class").agg(F.count("*").alias("q"))
+    with_q = now.kept(star.join(q, ["group", "class"]).withColumn("top", unit * F.col("q") - F.col("f")), "bounds")
+    bounds = with_q.groupBy("group").agg(F.max("top").alias("highest"), F.max("n").alias("most"))
+    with_q = with_q.join(hinted(now.kept(bounds, "highest"), ROW_BYTES), "group")
+    may = F.col("rest") & (F.col("f") <= F.col("highest")) & (F.col("top") >= F.col("fc"))
+    with_q = now.kept(with_q.withColumn("may", may), "may")
+    least = with_q.filter("may").groupBy("group").agg(F.min("f").alias("least"))
+    with_q = with_q.join(hinted(now.kept(least, "least"), ROW_BYTES), "group")
+    partner, size = F.when(F.col("rest"), F.col("fc")).otherwise(F.col("least")), F.least(F.col("most"), 100 * F.col("n") / percent)
+    share = F.greatest(F.lit(1), F.ceil((F.col("f") + partner) / unit), F.ceil((F.col("f") - (100 - percent) * size) / (100 + percent)))
+    heads = with_q.filter("may OR NOT rest AND top >= least").select("group", "class", "n", "label", (F.col("q") - share + 1).cast("int").alias("first")).filter("first > 0")
+    cells = common.join(hinted(now.kept(heads, "heads"), ROW_BYTES), ["group", "class"])
+    lists = cells.groupBy("group", "class", "n", "label", "first").agg(F.sort_array(F.collect_list(F.struct("have", "gram"))).alias("order"))  # the rarest first
+    return lists.select(F.col("group"), "class", "n", "label", F.explode(F.slice(F.col("order.gram"), F.lit(1), F.col("first"))).alias("gram")).select(F.xxhash64("group", "gram").alias("key"), "class", "n", "label")
+
+
+def class_links(members: DataFrame, parts: DataFrame, classes: int, percent: int) -> DataFrame:
+    """(node, label) of all classes with links, written; ``members`` has (key, class, n), the buckets of candidates.
+
+    Once the pairs in the buckets that are left are at most ``PLAIN`` times ``classes``, they are tried as small ones.
+    """
+    spark = members.sparkSession
+    found, before = Scratch(spark), Scratch(spark)  # what lasts, and what the turn before has left
+    members, edges, labels = members.withColumn("label", F.col("class")), None, None
     while True:
-        members = kept(_distinct_buckets(members, *(["group"] if turn else [])), "buckets")
-        few = F.col("size") <= (SMALL_LATER if turn else SMALL)
-        small, large = members.filter(few), members.filter(~few)
-        tried = _sharing(small, large, percent) if turn else _pairs_of(small, small, (F.col("class") < F.col("class_")) & _close("n", "n_", percent))
-        some = not large.isEmpty()
+        now, after = Scratch(spark), Scratch(spark)
+        members = now.kept(_distinct_buckets(members), "buckets")
+        before.drop()
+        left = members.agg(F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("pairs")).first().pairs / 2
+        few = F.col("size") <= SMALL if left > PLAIN * classes else F.lit(True)
+        counted = overlaps(now.kept(_pairs_of(members.filter(few), percent), "pairs"), parts)
+        new = counted.filter((100 + percent) * F.col("both") >= percent * (F.col("nx") + F.col("ny"))).select("x", "y")
+        groups = now.kept(_merged(members.filter(~few), now), "groups")
+        some = not groups.isEmpty()
         if some:
-            weight = hinted(kept(large.groupBy("class").agg(F.sum("size").alias("weight")), "weights"), ROW_BYTES)
-            weighed = large.join(weight, "class")
-            centre = hinted(kept(weighed.groupBy("key").agg(F.max_by("class", F.struct("weight", -F.col("n"), "class")).alias("centre")), "centres"), ROW_BYTES)
-            star = kept(weighed.join(centre, "key").select("centre", "class", "n", "weight").distinct(), "stars")
-            tried = tried.unionByName(star.filter(F.col("class") != F.col("centre")).select(*_ordered("centre", "class")))
-        if pending is not None:
-            tried = tried.unionByName(pending)
-        edges = _verified(kept(tried.distinct(), "pairs"), parts, sizes, percent, edges)
-        labels = components(edges)
+            star, deltas = _star(groups, parts, percent, now)
+            new = new.unionByName(star.filter("linked").select(F.col("centre").alias("x"), F.col("class").alias("y")))
+        new = found.kept(new, "links")
+        if labels is None or not new.isEmpty():
+            edges = new if edges is None else edges.unionByName(new)
+            labels = components(edges, found)
         if not some:
+            now.drop()
             return labels
-        # A class that is not in its centre's component may still have links of its own.
         side = hinted(labels, ROW_BYTES)
-        placed = _labelled(_labelled(star, side, "class", "mine"), side, "centre", "middle").withColumn("rest", F.col("mine") != F.col("middle"))
-        groups = kept(placed.select("centre", "class", "n", "weight", "mine", "rest"), "groups")
-        open_ = groups.filter("rest")
-        if open_.isEmpty():
+        star = _labelled(_labelled(star, side, "class", "label"), side, "centre", "middle")
+        star = now.kept(star.select("group", "class", "n", "d", "f", "fc", "label", (F.col("label") != F.col("middle")).alias("rest")), "labelled")
+        tokens = now.kept(_next_keys(star, deltas, percent, now), "tokens")
+        mixed = tokens.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
+        members = after.kept(tokens.join(hinted(now.kept(mixed, "mixed"), ROW_BYTES), "key"), "members")
+        now.drop()
+        before = after
+        if members.isEmpty():
+            after.drop()
             return labels
-        if turn == ROUNDS:  # an exact end for whatever stayed apart
-            keyed = groups.withColumnRenamed("centre", "key")
-            last = _pairs_of(keyed.filter("rest"), keyed, (F.col("mine") != F.col("mine_")) & _close("n", "n_", percent))
-            return components(_verified(last, parts, sizes, percent, edges))
-        # Two more centres each: what all three leave out is seldom shared by chance.
-        more = kept(open_.groupBy("centre").agg(F.max_by("class", F.struct("weight", "class")).alias("second"), F.max_by("class", F.struct(F.xxhash64("class"), "class")).alias("third")), "more")
-        more = hinted(more, ROW_BYTES)
-        out = kept(_outside(groups.join(more.select("centre"), "centre"), more, parts), "outside")
-        inside = kept(out.groupBy("centre", "class", "n", "mine", "rest").agg((F.col("n") - F.sum(F.size("grams"))).alias("inside")).withColumnRenamed("centre", "key"), "inside")
-        room = (100 + percent) * F.least("inside", "inside_") >= percent * (F.col("n") + F.col("n_"))
-        pending = _pairs_of(inside.filter("rest"), inside, (F.col("mine") != F.col("mine_")) & _close("n", "n_", percent) & room)
-        spokes = groups.join(more, "centre").select("class", F.explode(F.array("second", "third")).alias("other")).filter("class <> other")
-        pending = pending.unionByName(spokes.select(*_ordered("class", "other")))
-        keyed = out.join(inside.select(F.col("key").alias("centre"), "class", "inside"), ["centre", "class"]).select(F.explode("grams").alias("gram"), F.col("centre").alias("group"), "class", "n", "inside", "rest")
-        keyed = kept(keyed.withColumn("key", F.xxhash64("group", "gram")).drop("gram"), "tokens")
-        alive = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.max("rest").alias("alive")).filter("alive AND rows > 1").select("key")
-        members, turn = keyed.join(hinted(kept(alive, "alive"), ROW_BYTES), "key").select("key", "group", "class", "n", "inside"), turn + 1
-
-
-def _verified(pairs: DataFrame, parts: DataFrame, sizes: DataFrame, percent: int, edges: DataFrame | None) -> DataFrame:
-    """The edges so far and those of the pairs whose summed overlap makes them similar, written."""
-    both = overlaps(pairs, parts)
-    for side in ("x", "y"):
-        both = both.join(sizes.select(F.col("class").alias(side), F.col("n").alias(f"n{side}")), side)
-    new = kept(both.filter(_similar("both", "nx", "ny", percent)).select("x", "y"), "links")
-    return new if edges is None else edges.unionByName(new)
-
-
-def _outside(groups: DataFrame, centres: DataFrame, parts: DataFrame) -> DataFrame:
-    """(centre, class, n, mine, rest, grams): in each fragment, the n-grams of a class that none of its group's centres has."""
-    who = kept(centres.select("centre", F.explode(F.array("centre", "second", "third")).alias("class")).distinct(), "who")
-    known = parts.join(hinted(who, ROW_BYTES), "class").groupBy("centre", "part").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("known"))
-    known = kept(known, "known")
-    known = broadcast_if_small(known, known.agg(F.coalesce(F.sum(F.size("known") + F.lit(8)), F.lit(0)).alias("n")).first().n, 8)
-    cells = parts.join(hinted(kept(groups, "open"), ROW_BYTES), "class").join(known, ["centre", "part"], "left")
-    none = F.array().cast("array<bigint>")
-    return cells.select("centre", "class", "n", "mine", "rest", F.array_except("grams", F.coalesce("known", none)).alias("grams"))
 
 
-def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, class) of each document; linked documents share a component, named by its smallest id."""
+def _indexed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Each document's (id, row, n, key), and of each key with company its (rows, component_id, one): the id and row of the document that stays."""
+    spark = docs.sparkSession
     slim = _slim(docs, id_col, text_col)
     table = kept(classes(slim, n), "classes")
+    scratch = Scratch(spark)
+    one = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    per_class = scratch.kept(table.filter("n > 0").groupBy("class", "check").agg(F.min("n").alias("n"), F.min("id").alias("id"), F.count("*").alias("rows"), F.min(one).alias("one")), "sets")
     # Most documents share too few n-grams with any other to have a link; only the rest are looked at closely.
     grams = first_grams(slim, n, percent)
     shared = grams.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1").select("gram")
     alive = grams.join(shared, "gram").groupBy("class").agg(F.count("*").alias("have"), F.max("need").alias("need")).filter("have >= need").select("class")
-    wanted = kept(table.join(alive, "class", "left_semi").groupBy("class").agg(F.min("n").alias("n"), F.min(F.struct("id", "row")).alias("one")), "wanted")
+    wanted = scratch.kept(per_class.join(alive, "class", "left_semi").withColumn("node", F.col("class")), "wanted")
+    clashes = scratch.kept(wanted.groupBy("class").agg(F.count("*").alias("rows")).filter("rows > 1").select("class"), "clashes")
+    if not clashes.isEmpty():  # different sets with one hash get nodes of their own
+        apart = wanted.join(clashes, "class", "left_semi").withColumn("node", F.xxhash64("class", "check"))
+        wanted = scratch.kept(wanted.join(clashes, "class", "left_anti").unionByName(apart), "wanted")
     count = wanted.count()
-    per_class = table.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
     if count:
-        reps = broadcast_if_small(wanted.select(F.col("one.id").alias("rid"), F.col("one.row").alias("rrow")), count, ROW_BYTES)
-        texts = kept(slim.join(reps, F.col("id").eqNullSafe(F.col("rid")) & (F.col("row") == F.col("rrow"))).select("id", "row", "text"), "texts")
+        reps = broadcast_if_small(wanted.select(F.col("one.id").alias("rid"), F.col("one.row").alias("rrow"), F.col("node").alias("class")), count, ROW_BYTES)
+        texts = scratch.kept(slim.join(reps, F.col("id").eqNullSafe(F.col("rid")) & (F.col("row") == F.col("rrow"))).select("class", "text"), "texts")
         if texts.count() > count:  # whole rows repeat
-            texts = kept(texts.dropDuplicates(["id", "row"]), "texts")
-        sigs = kept(agreements(texts, n, percent), "agreements")
+            texts = scratch.kept(texts.dropDuplicates(["class"]), "texts")
+        sigs = scratch.kept(agreements(texts, n, percent), "agreements")
         several = sigs.groupBy("sig").agg(F.count("*").alias("rows")).filter("rows > 1").select("sig")
         members = sigs.join(several, "sig").select(F.col("sig").alias("key"), "class", "n")
-        parts = kept(vertical(texts, n), "parts")
-        labels = class_links(members, parts, wanted.select("class", "n"), percent).select(F.col("node").alias("class"), "label")
-        per_class = per_class.join(labels, "class", "left")
-        named = per_class.filter("label is not null").groupBy("label").agg(F.min("id").alias("first"))
-        per_class = per_class.join(named, "label", "left").select("class", "rows", F.coalesce("first", "id").alias("component_id"), F.col("label").isNotNull().alias("linked"))
+        parts = scratch.kept(vertical(texts, n), "parts")
+        labels = class_links(members, parts, count, percent).select(F.col("node"), "label")
+        labels = wanted.select("class", "check", "node").join(labels, "node").select("class", "check", "label")
+        per_class = per_class.join(labels, ["class", "check"], "left")
     else:
-        per_class = per_class.select("class", "rows", F.col("id").alias("component_id"), F.lit(False).alias("linked"))
+        per_class = per_class.withColumn("label", F.lit(None).cast("long"))
+    named = per_class.filter("label is not null").groupBy("label").agg(F.min("id").alias("first"), F.min("one").alias("stays"))
+    per_class = per_class.join(named, "label", "left")
     # Documents alone in their class and without links need no lookup.
-    index = kept(per_class.filter("rows > 1 OR linked").select(F.col("class").alias("k"), "rows", "component_id"), "components")
-    size, total = index.count(), table.count()
-    found = lookup(table, "class", index, "k", "rows", size, total, ROW_BYTES)
+    key = F.struct("class", "check")
+    index = per_class.filter("rows > 1 OR label is not null").select(key.alias("k"), "rows", F.coalesce("first", "id").alias("component_id"), F.coalesce("stays", "one").alias("one"))
+    index = kept(index, "components")
+    scratch.drop()
+    return table.select("id", "row", "n", key.alias("key")), index
+
+
+def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row, n_shingles, component_id, one) of each document; linked documents share a component, named by its smallest id.
+
+    ``one`` is null for a document without company, and else has the id and the row hash of the one to stay.
+    """
+    table, index = _indexed(docs, n, percent, id_col, text_col)
+    found = lookup(table, "key", index, "k", "rows", index.count(), table.count(), ROW_BYTES)
     alone = (F.col("n") == 0) | F.col("rows").isNull()
-    return found.select("id", "row", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "class")
+    return found.select("id", "row", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "one")
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with their columns: of each component the row with the smallest id."""
-    found = near_duplicates(docs, n, percent, id_col, text_col)
-    gone = kept(found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__gone"), F.col("row").alias("__gone_row")).distinct(), "gone")
-    gone = broadcast_if_small(gone, gone.count(), ROW_BYTES)
+    """The rows that stay, with their columns: of each component one, with the smallest id.
+
+    Null ids come last; of different texts with that id the one with the smaller hash stays, of wholly equal rows one.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.kept(near_duplicates(docs, n, percent, id_col, text_col).filter("one is not null"), "grouped")
+    stays = F.col("id").eqNullSafe(F.col("one.id")) & (F.col("row") == F.col("one.row"))
+    gone = kept(found.filter(~stays).select(F.col("id").alias("__gone"), F.col("row").alias("__gone_row")).distinct(), "gone")
+    twice = kept(found.filter(stays).groupBy(F.col("id").alias("__gone"), F.col("row").alias("__gone_row")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "twice")
+    scratch.drop()
     own, row = unused(docs, "__own"), unused(docs, "__row")
     keyed = docs.withColumns({own: F.col(id_col).cast("long"), row: F.xxhash64(text_col)})
-    return keyed.join(gone, keyed[own].eqNullSafe(F.col("__gone")) & (keyed[row] == F.col("__gone_row")), "left_anti").select(docs.columns)
+    on = keyed[own].eqNullSafe(F.col("__gone")) & (keyed[row] == F.col("__gone_row"))
+    size = twice.count()
+    rest = gone.unionByName(twice) if size else gone
+    out = keyed.join(broadcast_if_small(rest, gone.count() + size, ROW_BYTES), on, "left_anti").select(docs.columns)
+    if not size:
+        return out
+    again = keyed.join(broadcast_if_small(twice, size, ROW_BYTES), on, "left_semi")
+    first = again.groupBy(own, row).agg(F.min_by(F.struct(*docs.columns), row_hash(docs)).alias("one"))
+    return out.unionByName(first.select("one.*"))

@@ -5,8 +5,8 @@ hash in it (the first of equals): equal windows have equal minimizers at equal p
 a minimizer that occurs twice, at two places even where the occurrences overlap. Tasks sketch the minimizers of their
 texts; merging the sketches by cell overestimates counts, never underestimates them. Cells counted once are dropped and
 the others come back as one bitmap per row of the sketch, of a fixed size, that is broadcast to the second pass. That
-pass hashes the windows (96 bits) whose minimizer is estimated repeated in every row, and groups them exactly; windows
-that occur more than once then mark the words they cover. A fuller sketch only lets more windows through to the exact
+pass hashes the windows whose minimizer is estimated repeated in every row, and groups them exactly, by 96 bits from two
+hashes that are independent from the words' bytes on; windows that occur more than once then mark the words they cover. A fuller sketch only lets more windows through to the exact
 grouping; it never loses one.
 
 Defined results: words are runs without ASCII white space, unchanged; a null, empty or blank text has none; texts
@@ -16,7 +16,6 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import textkit as tk
 from sheaf.llm.joins import broadcast_if_small
-from sheaf.llm.storage import kept
+from sheaf.storage import kept
 
 WINDOW = 50
 GRAM = 8
@@ -128,7 +127,7 @@ def _window_rows(slim: DataFrame, window: int, shared) -> DataFrame:
                 at = estimated(words, window, bits, maps)
                 doc = words.doc[at]
                 first, one = tk.windows(words.hash, words.doc, window)
-                _, two = tk.windows(tk.mix(words.hash + tk.U64(1)), words.doc, window, 1)
+                _, two = tk.windows(tk.hash_words(words.data, words.start, words.end, 1), words.doc, window, 1)
                 place = np.searchsorted(first, at)
                 tail = (two[place] >> tk.U64(32) << tk.U64(32)) | (at - words.first[doc]).astype(tk.U64)
                 take = pa.array(doc)

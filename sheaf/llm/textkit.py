@@ -17,8 +17,10 @@ BLOCK_BYTES = 1 << 19
 BATCH_BYTES = 4 << 20
 U64 = np.uint64
 
-#: Odd multipliers of the polynomial hashes, one for each independent hash.
+#: Odd multipliers, one for each independent hash.
 BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
+#: Keeps the first n bytes of eight.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -31,9 +33,6 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.ones(256, dtype=bool)
 ALNUM[0x00:0x30] = ALNUM[0x3A:0x61] = ALNUM[0x7B:0x80] = False
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that near values land far apart."""
     h = h ^ (h >> U64(33))
@@ -44,19 +43,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a base and of its inverse modulo 2**64; kept and grown."""
-    if which not in _powers or len(_powers[which][0]) < n:
-        size = 1 << max(12, int(n).bit_length())
-        base = int(BASES[which])
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(size, b, dtype=U64)
-            x[0] = 1
-            both.append(np.cumprod(x, dtype=U64))
-        _powers[which] = (both[0], both[1])
-    up, down = _powers[which]
-    return up[:n], down[:n]
+def joined(a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of what ``a`` stands for followed by what ``b`` stands for."""
+    h = a * BASES[which]
+    h += b
+    return mix(h)
+
+
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash the bytes of each word: every eight bytes are mixed with a key of their place, and the results summed.
+
+    Each eight bytes pass a bijection of their own before they meet the others, so no arithmetic pattern in a long word
+    cancels out. Different ``which`` are independent from the bytes on.
+    """
+    if not len(start):
+        return np.empty(0, dtype=U64)
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    at = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = end - start
+    seed = BASES[which]
+    total = mix((at[start] & MASKS[np.minimum(size, 8)]) ^ seed)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        many = (size[long] - 1) // 8
+        first = np.cumsum(many) - many
+        place = np.arange(1, int(many.sum()) + 1) - np.repeat(first, many)
+        left = np.repeat(size[long], many) - 8 * place
+        rest = at[np.repeat(start[long], many) + 8 * place] & MASKS[np.minimum(left, 8)]
+        total[long] += np.add.reduceat(mix(rest ^ mix(place.astype(U64) * seed)), first)
+    return mix(total + size.astype(U64) * seed)
 
 
 @dataclass
@@ -118,12 +133,8 @@ def words_of(texts: pa.Array, keep: np.ndarray = NOT_SPACE, lower: bool = False,
         after[:-1] = inside[1:]
         after[cuts - 1] = False
         s, e = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        if hashed and len(s):
-            up, down = powers(to - at + 1, which)
-            total = np.empty(to - at + 1, dtype=U64)
-            total[0] = 0
-            np.cumsum((data[at:to].astype(U64) + U64(1)) * up[:-1], dtype=U64, out=total[1:])
-            hashes.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(U64)))
+        if hashed:
+            hashes.append(hash_words(data[at:to], s, e, which))
         starts.append(s + at)
         ends.append(e + at)
         at = to
@@ -135,16 +146,25 @@ def words_of(texts: pa.Array, keep: np.ndarray = NOT_SPACE, lower: bool = False,
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, size: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of each run of ``size`` consecutive words inside one text."""
+    """First word and hash of each run of ``size`` consecutive words inside one text.
+
+    Hashes of 1, 2, 4, ... words are joined pair by pair; a run is put together from those that ``size`` is the sum of.
+    """
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=U64)
-    up, down = powers(len(hashes) + 1, which)
-    total = np.empty(len(hashes) + 1, dtype=U64)
-    total[0] = 0
-    np.cumsum(hashes * up[:-1], dtype=U64, out=total[1:])
+    level, span, done, run = hashes, 1, 0, None
+    while True:
+        if size & span:
+            part = level[done : done + n]
+            run = part if run is None else joined(run, part, which)
+            done += span
+        if done == size:
+            break
+        level = joined(level[:-span], level[span:], which)
+        span *= 2
     first = np.flatnonzero(doc[:n] == doc[size - 1 :])
-    return first, mix((total[first + size] - total[first]) * down[first])
+    return first, mix(run[first] + U64(size))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -100,18 +100,45 @@ def family(seed, base_words, copies, edits):
 
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (1, 60)])
 def test_near(spark, n, percent):
-    texts = family(1, 150, 60, 4) + family(2, 40, 30, 2) + family(3, 12, 20, 2) + family(4, 600, 25, 20) + family(5, 8, 20, 1)
+    texts = family(1, 150, 30, 4) + family(2, 40, 15, 2) + family(3, 12, 20, 2) + family(4, 600, 12, 20) + family(5, 8, 20, 1)
     docs = [(i * 3, t) for i, t in enumerate(texts)] + [(1001, None), (1003, " "), (1005, "ab cd"), (1007, "AB cd"), (1009, "ab")]
     random.Random(0).shuffle(docs)
     got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(docs, SCHEMA), n, percent).collect()}
     assert got == components(docs, n, percent)
 
 
-def test_near_rounds_run_out(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
-    docs = list(enumerate(family(6, 120, 50, 3)))
-    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(docs, SCHEMA), 3, 90).collect()}
-    assert got == components(docs, 3, 90)
+def test_near_around_a_centre(spark, monkeypatch):
+    """A group near its centre but hardly to one another: stars and turns, and no pairs tried plainly."""
+    monkeypatch.setattr(ngram_join, "PLAIN", 0)
+    draw, base = random.Random(7), [f"b{i}" for i in range(60)]
+    docs = []
+    for i in range(70):
+        w = list(base)
+        for at in draw.sample(range(60), 4):
+            w[at] = f"c{i} {at}" if i % 3 else f"shared{at}"
+        docs.append((i, " ".join(w[: draw.randrange(52, 61)])))
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(docs, SCHEMA), 2, 80).collect()}
+    assert got == components(docs, 2, 80)
+
+
+def thue_morse():
+    """Two words of 1,024 letters whose polynomial hashes modulo 2 ** 64 are equal for any odd base."""
+    bits = [i.bit_count() & 1 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_in_polynomials(spark):
+    one, two = thue_morse()
+    rest = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, one), (4, two)], SCHEMA)
+    assert {r.id: r.component_id for r in ngram_join.near_duplicates(docs, 3, 100).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert [r.n_removed for r in substring_dedup.remove_repeated(docs, 35).collect()] == [0] * 4
+
+
+def test_one_of_each_with_ties(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (None, "A b c"), (7, "x y z"), (7, "x y z"), (7, "X y z"), (8, "x y z"), (9, None), (9, None)], SCHEMA)
+    stay = ngram_join.one_of_each(docs).collect()
+    assert sorted((str(r.doc_id), (r.text or "").lower()) for r in stay) == [("7", "x y z"), ("9", ""), ("9", ""), ("None", "a b c")]
 
 
 def test_near_edges(weird, nothing):
