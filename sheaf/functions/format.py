@@ -48,7 +48,9 @@ def date_text(x: Column, how: Dates) -> Column:
     if how.kind == "milliseconds":
         return plain_real(F.unix_micros(x) / 1_000, T.DoubleType())
     if how.kind == "iso8601":
-        return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        # An instant ends in Z, so it is written in UTC whatever the session's zone.
+        utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.unix_micros(x) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
+        return F.concat(F.replace(F.substring(utc.cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit("Z"))
     if how.kind == "formatted":
         return F.date_format(x, how.pattern)
     if how.kind == "custom":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ class Decoder:
             records = scan.lines(spark, path, self.options.delimiter, self.options.encoding)
             header = self._first_line(spark, path)
             if self.options.has_headers:
-                records = records.filter(F.col("raw") != F.lit(header[1]))
+                records = self._without_headers(records, header[1])
             return self._typed(records, schema, self._columns(schema, header[0]), keep_row)
         docs = scan.documents(spark, path, self.options.encoding)
         if parallel and parallel.parallelism:
@@ -89,11 +90,18 @@ class Decoder:
 
     # -- header ----------------------------------------------------------------------------------------------------
 
-    def header(self, docs: DataFrame) -> list[str]:
-        """The fields of the first record of the first document that has one."""
-        first = F.regexp_extract("content", X.record_pattern(self.options.delimiter), 1)
-        row = docs.filter(F.length("content") > 0).orderBy("src").select(F.transform(X.raw_fields(first, self.options.delimiter), X.unescaped).alias("f")).first()
-        return list(row.f) if row else []
+    def headers(self, docs: DataFrame) -> tuple[Column, list[list[str]]]:
+        """The fields of a document's first record, as an expression, and the distinct ones of documents that have any text."""
+        first = F.transform(X.raw_fields(F.regexp_extract("content", X.record_pattern(self.options.delimiter), 1), self.options.delimiter), X.unescaped)
+        rows = docs.filter(F.length("content") > 0).select(first.alias("f")).distinct().collect()
+        return first, sorted(list(row.f) for row in rows)
+
+    @staticmethod
+    def _without_headers(records: DataFrame, header: str) -> DataFrame:
+        """One row that is like the header less in each file that has some; where there are more, those are records."""
+        more = records.filter(F.col("raw") == F.lit(header)).groupBy("src", "row", "raw", "fields", "closed").agg(F.count("*").alias("n")).filter("n > 1")
+        more = more.withColumn("n", F.explode(F.sequence(F.lit(2), F.col("n"))))
+        return records.filter(F.col("raw") != F.lit(header)).unionByName(more.drop("n"))
 
     def _first_line(self, spark: SparkSession, path: str | list[str]) -> tuple[list[str], str]:
         read = spark.read.option("encoding", self.options.encoding).text(path).limit(1)
@@ -109,10 +117,15 @@ class Decoder:
 
     def documents(self, docs: DataFrame, schema: T.StructType, keep_row: bool = False, names: list[str] | None = None) -> DataFrame:
         """(src, content) as a table. ``names`` gives the columns where no document may be looked at, as in a stream."""
+        if names is None and self.options.has_headers and not self.options.index_mapping:
+            first, found = self.headers(docs)
+            if len(found) > 1:  # files of several layouts: each has its columns where its own header says
+                parts = [self.documents(docs.filter(first == F.array(*[F.lit(x) for x in names])), schema, keep_row, self._columns(schema, names)) for names in found]
+                return reduce(DataFrame.unionByName, parts)
+            names = self._columns(schema, found[0] if found else [])
+        elif names is None:
+            names = self._columns(schema, [])
         records = scan.records(docs, self.options.delimiter)
-        if names is None:
-            needs_first = (self.options.has_headers and not self.options.index_mapping)
-            names = self._columns(schema, self.header(docs) if needs_first else [])
         if self.options.has_headers:
             records = records.filter((F.col("row") > 1) | ~F.col("closed"))
         return self._typed(records, schema, names, keep_row)

@@ -147,3 +147,30 @@ def test_writers(spark, tmp_path):
     assert [tuple(r) for r in Decoder().read(spark, str(tmp_path / "native"), "id long not null, s string").orderBy("id").collect()] == [(1, "x\ny"), (2, None)]
     with pytest.raises(ValueError):
         Encoder(EncodeOptions(line_ending="\r\n")).write_native(df, str(tmp_path / "no"))
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n4,3\n")
+    rows = Decoder().read(spark, str(tmp_path / "*.csv"), "x long, y long").collect()
+    assert sorted((r.x, r.y) for r in rows) == [(1, 2), (3, 4)]
+
+
+def test_lines_keep_records_like_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,v\nname,v\nb,c\n")
+    for tier in ("exact", "lines"):
+        rows = Decoder().read(spark, str(tmp_path / "a.csv"), "name string, v string", tier).collect()
+        assert sorted((r.name, r.v) for r in rows) == [("b", "c"), ("name", "v")]
+
+
+def test_instants_are_written_in_utc(spark):
+    from sheaf.functions.format import date_text
+    from sheaf.options import Dates
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT timestamp_micros(1710082800000000) AS t UNION ALL SELECT timestamp_micros(-1500000)")
+        assert sorted(r.s for r in df.select(date_text(df.t, Dates.iso8601()).alias("s")).collect()) == ["1969-12-31T23:59:58Z", "2024-03-10T15:00:00Z"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
