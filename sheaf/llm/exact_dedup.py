@@ -16,7 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,9 +127,7 @@ def with_digest(docs: DataFrame, text_col: str, name: str, text_name: str | None
 
 
 def decided(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns, with ``__digest``, ``__keep_id``, ``__n`` (rows of the group) and ``__kept``."""
-    if clash := {c.lower() for c in docs.columns} & {"__digest", "__keep_id", "__n", "__kept", "__n_id", "__text"}:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
+    """All rows and columns, which must not be named like those added, with ``__digest``, ``__keep_id``, ``__n`` (rows of the group) and ``__kept``."""
     spark = docs.sparkSession
     entries = DigestIndex(spark, keep).flush(docs, id_col, text_col).entries()
     index = entries.filter("n > 1").select("digest", F.col("id").alias("__keep_id"), F.col("n").alias("__n"), F.col("n_id").alias("__n_id"))
@@ -153,18 +151,22 @@ def decided(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col
     wins = own.eqNullSafe(F.col("__keep_id"))
     if index.filter("__n_id <> 1").isEmpty() and clashes.isEmpty():
         return rows.withColumn("__kept", wins).drop("__n_id")
-    # Several rows have the id that stays: number those rows alone, by a hash of all they hold.
+    # Several rows have the id that stays: the one with the least hash of all it holds stays, of wholly equal rows any one.
     tied = wins & (F.coalesce("__n_id", F.lit(1)) > 1)
-    first = F.row_number().over(Window.partitionBy("__digest", "__keep_id").orderBy("__keep_id")) == 1
-    return rows.filter(~tied).withColumn("__kept", wins).unionByName(rows.filter(tied).withColumn("__kept", first)).drop("__n_id")
+    ties = kept(rows.filter(tied).withColumns({"__hash": row_hash(docs), "__place": F.monotonically_increasing_id()}), "ties")
+    best = ties.groupBy("__digest", "__keep_id").agg(F.min(F.struct("__hash", "__place")).alias("b")).select(F.col("b.__place").alias("__best"))
+    ties = ties.join(best, F.col("__place") == F.col("__best"), "left").withColumn("__kept", F.col("__best").isNotNull())
+    return rows.filter(~tied).withColumn("__kept", wins).drop("__n_id").unionByName(ties.drop("__n_id", "__hash", "__place", "__best"))
 
 
 def duplicate_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, keep_id, group_size, kept and the text's SHA-256."""
-    rows = decided(docs.select(id_col, text_col), keep, id_col, text_col)
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col("__keep_id").alias("keep_id"), F.col("__n").alias("group_size"), F.col("__kept").alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256"))
+    rows = decided(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), keep, "id", "text")
+    return rows.select("id", F.col("__keep_id").alias("keep_id"), F.col("__n").alias("group_size"), F.col("__kept").alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with their columns; one of each group."""
-    return decided(docs, keep, id_col, text_col).filter("__kept").select(docs.columns)
+    """The rows that stay, with their columns, whatever their names; one of each group."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = decided(docs.toDF(*names), keep, names[docs.columns.index(id_col)], names[docs.columns.index(text_col)])
+    return rows.filter("__kept").select(*names).toDF(*docs.columns)

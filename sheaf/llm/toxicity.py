@@ -113,7 +113,14 @@ class Lexicon:
         for end, (weight, size) in self.matcher().iter(f" {' '.join(words)} "):
             (hits if weight else spared).append((end - size + 1, end, weight))
         if spared:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
+            hits, spared, reach, at = sorted(hits), sorted(spared), -1, 0
+            free = []
+            for hit in hits:  # reach: how far the phrases go that start no later
+                while at < len(spared) and spared[at][0] <= hit[0]:
+                    reach, at = max(reach, spared[at][1]), at + 1
+                if hit[1] > reach:
+                    free.append(hit)
+            hits = free
         return sum(h[2] for h in hits), [h[0] for h in hits]
 
     def density(self, words: list[str]) -> float:

@@ -45,6 +45,16 @@ def test_exact_stay(spark, weird, nothing):
         exact_dedup.DigestIndex(spark, "any")
 
 
+def test_exact_ties_and_reserved_names(spark):
+    rows = [(1, "a", 5), (1, "A", 6), (1, "a", 5), (2, "a", 7), (None, "b", 1), (None, "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __n long").selectExpr("doc_id", "text", "__n", "__n AS __kept", "'x' AS __text")
+    stay = exact_dedup.exact_dedup(docs)
+    assert stay.columns == docs.columns
+    first = sorted(map(str, stay.collect()))
+    assert len(first) == 2 and first == sorted(map(str, exact_dedup.exact_dedup(docs.repartition(3)).collect()))
+    assert sorted(r.kept for r in exact_dedup.duplicate_groups(docs).collect()) == [False] * 4 + [True] * 2
+
+
 def test_index_takes_more_runs(spark):
     index = exact_dedup.DigestIndex(spark, "min")
     index.flush(spark.createDataFrame([(5, "a"), (6, "b")], SCHEMA)).flush(spark.createDataFrame([(2, "A"), (None, "c")], SCHEMA))

@@ -266,6 +266,20 @@ def held_out_accuracy(scored, marks, label, threshold):
     return len(rows), sum((r.score >= threshold) == bool(r[label]) for r in rows) / len(rows)
 
 
+def test_exceptions_like_naive_matching():
+    draw = random.Random(2)
+    lexicon = toxicity.Lexicon({"abab": 1.0, "ba": 2.0, "aba ": 4.0}, ["abab ba", "ba aba", "aba aba aba", "b"])
+    for _ in range(200):
+        words = [draw.choice(("ab", "ba", "abab", "aba", "b", "bab")) for _ in range(draw.randrange(1, 25))]
+        text = f" {' '.join(words)} "
+        places = lambda key: [i for i in range(len(text)) if text.startswith(key, i)]
+        spared = [(i, i + len(p) + 1) for p in lexicon.exceptions for i in places(f" {p} ")]
+        hits = [(i, i + len(t), w) for t, w in lexicon.weights.items() for i in places(f" {t}")]
+        want = sorted(i for i, j, _ in hits if not any(a <= i and j <= b for a, b in spared))
+        total, starts = lexicon.matches(words)
+        assert sorted(starts) == want and total == sum(w for i, j, w in hits if not any(a <= i and j <= b for a, b in spared))
+
+
 def test_toxicity_learns(spark):
     docs, marks = corpus(spark)
     lexicon = toxicity.learn(docs, marks)
