@@ -315,11 +315,11 @@ def _next_keys(star: DataFrame, deltas: DataFrame, percent: int, now: Scratch) -
     q = common.groupBy("group", "class").agg(F.count("*").alias("q"))
     with_q = now.kept(star.join(q, ["group", "class"]).withColumn("top", unit * F.col("q") - F.col("f")), "bounds")
     bounds = with_q.groupBy("group").agg(F.max("top").alias("highest"), F.max("n").alias("most"))
-    with_q = with_q.join(hinted(now.kept(bounds, "highest"), ROW_BYTES), "group")
+    with_q = with_q.join(bounds, "group")
     may = F.col("rest") & (F.col("f") <= F.col("highest")) & (F.col("top") >= F.col("fc"))
     with_q = now.kept(with_q.withColumn("may", may), "may")
     least = with_q.filter("may").groupBy("group").agg(F.min("f").alias("least"))
-    with_q = with_q.join(hinted(now.kept(least, "least"), ROW_BYTES), "group")
+    with_q = with_q.join(least, "group")
     partner, size = F.when(F.col("rest"), F.col("fc")).otherwise(F.col("least")), F.least(F.col("most"), 100 * F.col("n") / percent)
     share = F.greatest(F.lit(1), F.ceil((F.col("f") + partner) / unit), F.ceil((F.col("f") - (100 - percent) * size) / (100 + percent)))
     heads = with_q.filter("may OR NOT rest AND top >= least").select("group", "class", "n", "label", (F.col("q") - share + 1).cast("int").alias("first")).filter("first > 0")
@@ -349,6 +349,9 @@ def class_links(members: DataFrame, parts: DataFrame, classes: int, percent: int
         if some:
             star, deltas = _star(groups, parts, percent, now)
             new = new.unionByName(star.filter("linked").select(F.col("centre").alias("x"), F.col("class").alias("y")))
+        if labels is not None:  # a link inside a component says nothing new
+            side = hinted(labels, ROW_BYTES)
+            new = _labelled(_labelled(new, side, "x", "a"), side, "y", "b").filter("a <> b").select("x", "y")
         new = found.kept(new, "links")
         if labels is None or not new.isEmpty():
             edges = new if edges is None else edges.unionByName(new)
