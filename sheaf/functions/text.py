@@ -44,18 +44,21 @@ def field_pattern(delimiter: str) -> str:
     return f'({d}(?:"(?:[^"]++|"")*+"|[^{d}]*+)|[^{d}]++)'
 
 
-def records(content: Column, delimiter: str) -> Column:
-    """The raw records of a document with their terminators. An empty last line is none; one in between is."""
-    found = F.regexp_extract_all(content, F.lit(record_pattern(delimiter)), F.lit(1))
+def split(content: Column, delimiter: str) -> Column:
+    """All records of a document with their terminators, as far as quotes are closed, and what an empty match ends them with."""
+    return F.regexp_extract_all(content, F.lit(record_pattern(delimiter)), F.lit(1))
+
+
+def records(found: Column) -> Column:
+    """Of a document's split its records. An empty last line is none; one in between is."""
     # A split that reaches the end closes with an empty match there; one that stops at an unclosed quote does not.
     whole = F.try_element_at(found, F.lit(-1)) == ""
     blank = F.try_element_at(found, F.lit(-2)).isin("\n", "\r", "\r\n")
     return F.when(whole, F.slice(found, F.lit(1), F.size(found) - F.when(blank, 2).otherwise(1))).otherwise(found)
 
 
-def consumed(content: Column, delimiter: str) -> Column:
-    """How many characters the records hold; fewer than the content where a quote is not closed."""
-    found = F.regexp_extract_all(content, F.lit(record_pattern(delimiter)), F.lit(1))
+def consumed(found: Column) -> Column:
+    """How many characters the split holds; fewer than the content where a quote is not closed."""
     return F.aggregate(found, F.lit(0), lambda total, x: total + F.length(x))
 
 

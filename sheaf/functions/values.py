@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from sheaf.options import Bools, Dates, DecodeOptions, Nils, Numbers
 NAMES = {T.BooleanType: "Bool", T.StringType: "String", T.LongType: "Int", T.IntegerType: "Int32", T.ShortType: "Int16", T.ByteType: "Int8", T.DoubleType: "Double", T.FloatType: "Float", T.DecimalType: "Decimal", T.TimestampType: "Date", T.TimestampNTZType: "Date"}
 KIND_NAMES = {"uint8": "UInt8", "uint16": "UInt16", "uint32": "UInt32", "uint64": "UInt64", "uuid": "UUID", "url": "URL"}
 
+#: Gives an expression a name where it is mentioned more than once, so that it is computed once.
+Bind = Callable[[Column], Column]
+
 INTEGER = r"^[+-]?[0-9]+$"
 REAL = r"(?i)^[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?|\.[0-9]+(?:e[+-]?[0-9]+)?|inf|infinity|nan|0x[0-9a-f]+\.?[0-9a-f]*(?:p[+-]?[0-9]+)?)$"
 DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
@@ -52,6 +56,7 @@ def integer(text: Column, dtype: T.DataType, kind: str | None = None) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without a unit of measure at the end, then without currency symbols."""
+    plain, given = text.rlike(r"^[0-9.,+\-]*$"), text  # has neither
     text = F.regexp_replace(text, r"^[\s\h]+|[\s\h]+$", "")
     long_units = "|".join(u for u in L.UNITS if len(u) > 1)
     text = F.regexp_replace(text, rf"(?i) (?:{'|'.join(L.UNITS)})$|(?<=[0-9.,])\h*(?:{long_units})$", "")
@@ -59,7 +64,7 @@ def stripped(text: Column) -> Column:
     many = "|".join(re.escape(s) for s in sorted(L.SYMBOLS, key=len, reverse=True))
     text = F.regexp_replace(text, rf"(?iu){many}", "")
     text = F.regexp_replace(text, rf"^[{letters}]\h*(?=[0-9-])|(?<=[0-9])\h*[{letters}]$", "")
-    return F.regexp_replace(text, r"^\h+|\h+$", "")
+    return F.when(plain, given).otherwise(F.regexp_replace(text, r"^\h+|\h+$", ""))
 
 
 def normalised(text: Column) -> Column:
@@ -88,24 +93,24 @@ def localised(text: Column, locale: str) -> Column:
     return F.when(text.rlike(shape), plain)
 
 
-def number_text(text: Column, how: Numbers) -> Column:
+def number_text(text: Column, how: Numbers, bind: Bind = lambda x: x) -> Column:
     if how.kind == "standard":
         return text
     if how.kind == "locale":
-        return localised(text, how.locale)
-    clean = stripped(text)
+        return bind(localised(text, how.locale))
+    clean = bind(stripped(text))
     if how.kind == "flexible":
-        return normalised(clean)
-    return F.coalesce(localised(clean, how.locale), normalised(clean))
+        return bind(normalised(clean))
+    return bind(F.coalesce(localised(clean, how.locale), normalised(clean)))
 
 
-def real(text: Column, how: Numbers, dtype: T.DataType) -> Column:
-    text = number_text(text, how)
+def real(text: Column, how: Numbers, dtype: T.DataType, bind: Bind = lambda x: x) -> Column:
+    text = number_text(text, how, bind)
     return F.when(text.rlike(REAL), text.try_cast("double")).cast(dtype)
 
 
-def decimal(text: Column, how: Numbers, dtype: T.DecimalType) -> Column:
-    text = number_text(text, how)
+def decimal(text: Column, how: Numbers, dtype: T.DecimalType, bind: Bind = lambda x: x) -> Column:
+    text = number_text(text, how, bind)
     return F.when(text.rlike(DECIMAL), text.try_cast(dtype))
 
 
@@ -120,7 +125,12 @@ def _try(text: Column, *patterns: str) -> Column:
     arms = []
     for p in patterns:
         arms += [p[:-1] + "XXX", p] if p.endswith("Z") else [p]
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in arms])
+    return F.coalesce(*[F.when(text.like(_outline(p)), F.try_to_timestamp(text, F.lit(p))) for p in arms])
+
+
+def _outline(pattern: str) -> str:
+    """What any text of a date pattern is like: its punctuation in order. Parsing a text that is not costs an exception."""
+    return re.sub(r"[^-/.:, ]+", "%", re.sub(r"'[^']*'", "%", pattern))
 
 
 def _relative(text: Column) -> Column:
@@ -128,8 +138,7 @@ def _relative(text: Column) -> Column:
     return F.when(low == "today", F.current_date().cast("timestamp")).when(low == "yesterday", F.date_sub(F.current_date(), 1).cast("timestamp"))
 
 
-def instant(text: Column, how: Dates) -> Column:
-    clean = F.regexp_replace(text, r"^[\s\h]+|[\s\h]+$", "")
+def instant(text: Column, how: Dates, bind: Bind = lambda x: x) -> Column:
     if how.kind == "deferred":
         raise UnsupportedType("a timestamp field needs a date strategy")
     if how.kind == "seconds":
@@ -142,6 +151,7 @@ def instant(text: Column, how: Dates) -> Column:
         return _try(text, how.pattern)
     if how.kind == "custom":
         return how.function(text)
+    clean = bind(F.regexp_replace(text, r"^[\s\h]+|[\s\h]+$", ""))
     flexible = [_try(clean, *L.DATE_PATTERNS), _relative(clean)]
     if how.kind == "locale":
         patterns = getattr(L.notation(how.locale), how.style)
@@ -158,19 +168,19 @@ def expected_name(dtype: T.DataType, kind: str | None, dates: Dates) -> tuple[st
     return text, name
 
 
-def value(text: Column, field: T.StructField, options: DecodeOptions) -> Column:
-    """The value of a present, non-null text; null where it is not one."""
+def value(text: Column, field: T.StructField, options: DecodeOptions, bind: Bind = lambda x: x) -> Column:
+    """The value of a present, non-null text; null where it is not one. ``text`` is mentioned more than once."""
     dtype, kind = field.dataType, field.metadata.get(S.KIND)
     if isinstance(dtype, T.BooleanType):
         found = boolean(text, options.bools)
     elif kind in S.UNSIGNED or isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         found = integer(text, dtype, kind)
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-        found = real(text, options.numbers, dtype)
+        found = real(text, options.numbers, dtype, bind)
     elif isinstance(dtype, T.DecimalType):
-        found = decimal(text, options.numbers, dtype)
+        found = decimal(text, options.numbers, dtype, bind)
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        found = instant(text, options.dates).cast(dtype)
+        found = instant(text, options.dates, bind).cast(dtype)
     elif isinstance(dtype, T.StringType):
         found = text
         if kind == "uuid":

@@ -156,20 +156,28 @@ class Decoder:
         return found
 
     def _project(self, rows: DataFrame, schema: T.StructType, src, cell, present, names: list[str], keep_row: bool, drop=(), keep=(), structure: list[Column] | None = None) -> DataFrame:
-        failures: list[Column] = list(structure or [])
-        whole = F.lit(True) if not structure else ~F.exists(F.array(*structure), lambda e: e.isNotNull())
-        columns = [self._column(f, (), cell, present, names, failures, whole).alias(f.name) for f in schema.fields]
+        levels: list[dict[str, Column]] = []  # named expressions, each of which may mention those of levels before
+        broken = F.filter(F.array(*structure), lambda e: e.isNotNull()) if structure else F.array().cast(T.ArrayType(E.ERROR))
+        whole = F.lit(True)
+        if structure:
+            levels.append({"__broken": broken})
+            broken = F.col("__broken")
+            whole = F.size(broken) == 0
+        failures: list[Column] = []
+        columns = [self._column(f, (), cell, present, names, failures, whole, levels).alias(f.name) for f in schema.fields]
+        for level in levels:
+            rows = rows.withColumns(level)
         row = [F.col("__row").alias("_row")] if keep_row else []
-        if not failures:
+        if not failures and not structure:
             return rows.select(*columns, *row)
-        errors = F.filter(F.array(*failures), lambda e: e.isNotNull())
         if self.options.on_error == "permissive":
-            return rows.select(*columns, *row, errors.cast(T.ArrayType(E.ERROR)).alias("_errors"))
-        first = F.try_element_at(errors, F.lit(1))
-        checked = F.when(first.isNotNull(), F.raise_error(first["message"])).otherwise(columns[0])
+            errors = F.filter(F.array(*failures), lambda e: e.isNotNull()).cast(T.ArrayType(E.ERROR)) if failures else F.array().cast(T.ArrayType(E.ERROR))
+            return rows.select(*columns, *row, F.concat(broken.cast(T.ArrayType(E.ERROR)), errors).alias("_errors"))
+        first = F.coalesce(*([F.try_element_at(broken, F.lit(1))["message"]] if structure else []), *[x["message"] for x in failures])
+        checked = F.when(first.isNotNull(), F.raise_error(first)).otherwise(columns[0])
         return rows.select(checked.alias(schema.fields[0].name), *columns[1:], *row)
 
-    def _column(self, f: T.StructField, path: tuple[str, ...], cell, present, names: list[str], failures: list[Column], whole: Column, prefix: str = "") -> Column:
+    def _column(self, f: T.StructField, path: tuple[str, ...], cell, present, names: list[str], failures: list[Column], whole: Column, levels: list[dict[str, Column]], prefix: str = "") -> Column:
         name = prefix + S.column_name(f)
         if isinstance(f.dataType, T.StructType):
             kind = self.options.nested.kind
@@ -178,7 +186,7 @@ class Decoder:
             if kind == "flatten":
                 inner = name + self.options.nested.separator
                 if not names or name not in names or any(n.startswith(inner) for n in names):
-                    parts = [self._column(g, (*path, f.name), cell, present, names, failures, whole, inner).alias(g.name) for g in f.dataType.fields]
+                    parts = [self._column(g, (*path, f.name), cell, present, names, failures, whole, levels, inner).alias(g.name) for g in f.dataType.fields]
                     made = F.struct(*parts)
                     if f.nullable:
                         return F.when(F.greatest(*[present(n) for n, _, _ in S.leaves(f.dataType, self.options.nested.separator, inner)], F.lit(False)), made)
@@ -190,16 +198,29 @@ class Decoder:
             if not f.nullable:
                 failures.append(F.when(whole, missing))
             return F.lit(None).cast(f.dataType)
-        text = X.trimmed(raw) if self.options.trim_whitespace else raw
+        depth = 0
+
+        def bind(x: Column) -> Column:
+            nonlocal depth
+            if depth == len(levels):
+                levels.append({})
+            own = f"__{depth}_{len(levels[depth])}"
+            levels[depth][own] = x
+            depth += 1
+            return F.col(own)
+
+        text = bind(X.trimmed(raw) if self.options.trim_whitespace else raw)
         if isinstance(f.dataType, T.StringType) and not f.nullable and f.metadata.get(S.KIND) is None:
             null = text.isNull()  # an empty text is a text
         else:
             null = text.isNull() | V.is_null(text, self.options.nils)
-        found = F.when(~null, V.value(text, f, self.options))
+        found = F.when(~null, V.value(text, f, self.options, bind))
+        plain_string = isinstance(f.dataType, T.StringType) and not f.metadata.get(S.KIND) and S.VALUES not in f.metadata
+        if not plain_string:
+            found = bind(found)
         if not f.nullable:
             failures.append(F.when(whole & text.isNull(), missing))
         expected, named = V.expected_name(f.dataType, f.metadata.get(S.KIND), self.options.dates)
-        plain_string = isinstance(f.dataType, T.StringType) and not f.metadata.get(S.KIND) and S.VALUES not in f.metadata
         if not plain_string:
             wrong = text.isNotNull() & found.isNull() & (~null if f.nullable else F.lit(True))
             failures.append(F.when(whole & wrong, E.type_mismatch(expected, text, row, name, path, named)))

@@ -55,10 +55,10 @@ def records(docs: DataFrame, delimiter: str = ",") -> DataFrame:
 
     A document with an unclosed quote ends in a record that is not ``closed`` and holds the rest.
     """
-    found = X.records(F.col("content"), delimiter)
-    used = X.consumed(F.col("content"), delimiter)
+    split = docs.withColumn("__split", X.split(F.col("content"), delimiter)).withColumn("__used", X.consumed(F.col("__split")))
+    found, used = X.records(F.col("__split")), F.col("__used")
     rest = F.substring(F.col("content"), used + 1, F.length("content"))
-    rows = docs.select("src", F.transform(found, lambda r: F.struct(r.alias("raw"), F.lit(True).alias("closed"))).alias("good"), F.when(used < F.length("content"), F.array(F.struct(rest.alias("raw"), F.lit(False).alias("closed")))).otherwise(F.array().cast("array<struct<raw:string,closed:boolean>>")).alias("bad"))
+    rows = split.select("src", F.transform(found, lambda r: F.struct(r.alias("raw"), F.lit(True).alias("closed"))).alias("good"), F.when(used < F.length("content"), F.array(F.struct(rest.alias("raw"), F.lit(False).alias("closed")))).otherwise(F.array().cast("array<struct<raw:string,closed:boolean>>")).alias("bad"))
     rows = rows.select("src", F.posexplode(F.concat("good", "bad")).alias("at", "record"))
     raw = F.regexp_replace("record.raw", r"(?:\r\n|\n|\r)\z", "")
     return rows.select("src", (F.col("at") + 1).cast("long").alias("row"), F.when(F.col("record.closed"), raw).otherwise(F.col("record.raw")).alias("raw"), X.raw_fields(F.col("record.raw"), delimiter).alias("fields"), F.col("record.closed").alias("closed"))
