@@ -6,8 +6,10 @@ above a share of the mean form clusters. A cluster in an article or main element
 however short. On pages without such a cluster the lines of clusters are selected, and those between two of them with no
 boilerplate in between. Links in succession with nothing else are a link list: they do not count in the mean, and outside
 articles those below its share are never selected, even beside a cluster. Text in elements that are boilerplate by their
-name, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments) has ratio 0 and is never
-selected; scripts, styles and the like are no text.
+name, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, comments, teasers) has ratio 0 and is never
+selected. A class token with a word for a layout ("with-sidebar", "no-sidebar") says nothing. An article or main element inside an
+element that is shut for a name alone is text again, unless the name is for adverts, teasers or comments. Names inside a sentence
+are ignored. Scripts, styles and the like are no text.
 
 Defined results: null and empty pages, and pages without text, give an empty text. Unclosed elements end with the
 element around them or the page. White space inside a line becomes one space. Repeated rows give repeated results.
@@ -32,7 +34,7 @@ RADIUS = 4
 SHARE = 0.5
 
 # HTML element names by what they mean here.
-KEPT, SHUT, UNREAD = range(3)  # text, boilerplate, no text at all
+KEPT, LAYOUT, SHUT, UNREAD = range(4)  # text, boilerplate unless an article opens in it, boilerplate, no text at all
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark output q rp rt ruby s samp small span strike strong sub sup time tt u var del".split())
 NO_TEXT = frozenset("head script style noscript template svg math canvas iframe object audio video select option datalist button textarea".split())
@@ -40,23 +42,33 @@ BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
 ROOTS = frozenset("article main".split())
 CLOSED_BY_BLOCK = frozenset("p li dt dd tr td th option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
+# Of class and id names: words for boilerplate, those of them that rule even an article out, and words that say something of a
+# layout and nothing of what the element itself is.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies respond disqus "
-    "skip pagination pager toolbar copyright legal disclaimer".split()
+    "skip pagination pager toolbar copyright disclaimer teaser teasers".split()
 )
+NEVER = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion related recommended comment comments reply replies respond disqus teaser teasers".split())
+LAYOUTS = frozenset("with without has no not hide show layout".split())
 
 
 Line = tuple[str, int, bool, int, int]
 
 
-def _named_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
+def _named(attrs: list[tuple[str, str | None]], in_root: bool) -> int:
+    """What an element is by its attributes: KEPT, LAYOUT or SHUT. Class tokens are taken whole."""
+    found = KEPT
     for name, value in attrs:
-        if name in ("class", "id") and value and NAMES & set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return True
+        if name in ("class", "id") and value:
+            for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+                words = set(re.findall(r"[a-z]+", token))
+                if LAYOUTS & words or in_root and words & {"header", "masthead"}:
+                    continue
+                found = max(found, SHUT if NEVER & words else LAYOUT if NAMES & words else KEPT)
         if name == "role" and (value or "").strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            return SHUT
+    return found
 
 
 class Lines(HTMLParser):
@@ -85,7 +97,10 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.linked = any(name == "href" for name, _ in attrs)
-        if tag in INLINE and not _named_boilerplate(attrs):
+        state, root = self._state()
+        named = _named(attrs, root > 0)
+        # A name on a part of a sentence, or on words in an article, does not make them boilerplate.
+        if tag in INLINE and (named == KEPT or not self._hidden(attrs) and (root or "".join(self.held).strip())):
             return
         if tag in ("td", "th"):
             self.held.append(" ")
@@ -98,17 +113,25 @@ class Lines(HTMLParser):
         if tag in CLOSED_BY_BLOCK and self.open and self.open[-1][0] == tag:
             self._close(tag)
         excluded, root = self._state()
-        if tag in ROOTS and not excluded:
-            if not root:
-                self.roots += 1
-                root = self.roots
-        else:
-            if tag in NO_TEXT:
-                excluded = UNREAD
-            elif not excluded and (tag in BOILERPLATE or tag == "header" and not root or tag not in ("html", "body") and _named_boilerplate(attrs)):
+        if tag in NO_TEXT:
+            excluded = UNREAD
+        elif tag in ROOTS:
+            if excluded <= LAYOUT:
+                excluded = SHUT if named == SHUT else KEPT
+                if not root and not excluded:
+                    self.roots += 1
+                    root = self.roots
+        elif excluded <= LAYOUT:
+            if tag in BOILERPLATE or tag == "header" and not root:
                 excluded = SHUT
+            elif tag not in ("html", "body"):
+                excluded = max(excluded, named)
         self.open.append((tag, excluded, root))
 
+    @staticmethod
+    def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+        return _named([x for x in attrs if x[0] not in ("class", "id")], False) != KEPT
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open and self.open[-1][0] == tag:

@@ -100,6 +100,31 @@ def test_main_text(html, text):
     assert main_text.main_text(html) == text
 
 
+SENTENCE = "This is a sentence of some length, with words enough to be a text, in the article itself."
+PARAGRAPHS = f"<p>{SENTENCE}</p>" * 3
+
+
+@pytest.mark.parametrize(
+    "html, more",
+    [
+        (f'<div class="layout with-sidebar"><article>{PARAGRAPHS}</article></div>', []),
+        (f'<div class="no-sidebar"><main>{PARAGRAPHS}</main></div>', []),
+        (f'<div class="modal"><article>{PARAGRAPHS}</article></div>', []),
+        (f'<section class="legal">{PARAGRAPHS}</section>', []),
+        (f'<article>{PARAGRAPHS}<div class="entry-header"><h2>Head</h2></div></article>', ["Head"]),
+        (f'<article>{PARAGRAPHS}</article><article class="comment"><p>{SENTENCE} No.</p></article>', []),
+        (f'<main>{PARAGRAPHS}<article class="comment"><p>{SENTENCE} No.</p></article></main>', []),
+        (f'<article>{PARAGRAPHS}</article><article class="teaser"><p>{SENTENCE} No.</p></article>', []),
+        (f'<div class="comments"><article>{SENTENCE} No.</article></div><article>{PARAGRAPHS}</article>', []),
+        (f'<article>{PARAGRAPHS}<div class="ad-container"><p>{SENTENCE} No.</p></div></article>', []),
+        (f'<article>{PARAGRAPHS}<p>Said <a class="social" href="/a">Ann</a> today.</p></article>', ["Said Ann today."]),
+        (f'<article>{PARAGRAPHS}<p>Said <span hidden>No</span> today.</p></article>', ["Said", "today."]),
+    ],
+)
+def test_names_of_elements(html, more):
+    assert main_text.main_text(html).split("\n") == [SENTENCE] * 3 + more
+
+
 LINKS = "".join(f"<li><a href='/{x}'>Part {x}</a></li>" for x in "abcdefghijkl")
 FOOT = "".join(f"<p><small>Line {x}</small></p>" for x in "abcdefgh")
 
