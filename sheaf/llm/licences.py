@@ -5,9 +5,11 @@ the place and once in the template are anchors, the longest increasing subsequen
 between anchors are aligned in the same way; a gap without such words is matched word by word from both its ends. The
 share of the template's words that are aligned is its coverage; at ``COVERAGE`` or more the license is reported.
 
-Whole texts are scanned, where they lie. Null, empty and wordless texts hold none. A license found in several places
-counts each place; of overlapping places, of whatever licenses, the
-one with the most words aligned, times its coverage, counts. Repeated rows give repeated results.
+Whole texts are scanned, however long, where they lie. Null, empty and wordless texts hold none. A license found in
+several places counts each place; of overlapping places, of whatever licenses, the one with the most words aligned, times
+its coverage, counts, of equal ones the first in the text, then by name. Repeated rows give repeated results. Other
+columns, whatever their names, are passed on; a result column whose name is taken gets another. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,25 @@ SLACK = 1.3
 WORD = re.compile(r"[0-9a-z]+(?:[.\-][0-9a-z]+)*")
 
 # License texts and notices, in lower case, punctuation aside.
-TEMPLATES = {
+BSD_CONDITIONS = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+BSD_NAMES = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+BSD_WARRANTY = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+BSD_LIABILITY = "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+GNU_HEADER = "this {work} is free software you can redistribute it and or modify it under the terms of the {license} as published by the free software foundation either version {version} of the license or at your option any later version this {work} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the {license} for more details you should have received a copy of the {license} along with this {work}"
+GNU_LICENSES = {
+    "GPL-2.0-or-later-header": ("program", "gnu general public license", "2"),
+    "GPL-3.0-or-later-header": ("program", "gnu general public license", "3"),
+    "LGPL-2.1-or-later-header": ("library", "gnu lesser general public license", "2.1"),
+    "LGPL-3.0-or-later-header": ("program", "gnu lesser general public license", "3"),
+    "AGPL-3.0-or-later-header": ("program", "gnu affero general public license", "3"),
+}
+TEMPLATES = {name: GNU_HEADER.format(work=work, license=license_, version=version) for name, (work, license_, version) in GNU_LICENSES.items()} | {
+    "BSD-3-Clause": f"{BSD_CONDITIONS} {BSD_NAMES} {BSD_WARRANTY} {BSD_LIABILITY}",
+    "MPL-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0",
+    "CC0-1.0-notice": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "zlib": "this software is provided as-is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution",
+    "Unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non-commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "BSL-1.0": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third-parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non-infringement in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "MIT-notice": "released under the mit license",
     "Apache-2.0-notice": "licensed under the apache license version 2.0",
     "GPL-3.0-notice": "this work is licensed under the gnu general public license version 3",
@@ -43,7 +63,7 @@ TEMPLATES = {
     "all-rights-reserved": "all rights reserved",
     "MIT": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "ISC": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
-    "BSD-2-Clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "BSD-2-Clause": f"{BSD_CONDITIONS} {BSD_WARRANTY} {BSD_LIABILITY}",
     "Apache-2.0-header": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www.apache.org licenses license-2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
 }
 
